@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat, html, mixing, warc
+from kerbline.llm import chat, decontam, html, mixing, simhash, warc
 from kerbline.llm.common import stage_path
 
 
@@ -40,9 +40,19 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(planted)))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_warc": op3_warc,
     "op5_html": op5_html,
+    "op6_simhash": op6_simhash,
     "op7_chat": op7_chat,
+    "op10_decontam": op10_decontam,
 }
