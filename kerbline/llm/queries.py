@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat, decontam, html, mixing, simhash, warc
+from kerbline.llm import chat, decontam, html, langid, media, mixing, quality, simhash, warc
 from kerbline.llm.common import stage_path
 
 
@@ -48,11 +48,30 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stage_path(spark, "media")
+    media.write_store(_table(spark, sf_dir, "documents"), path)
+    return media.read_features(spark, path)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.predict(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_warc": op3_warc,
+    "op4_media": op4_media,
     "op5_html": op5_html,
     "op6_simhash": op6_simhash,
     "op7_chat": op7_chat,
+    "op8_quality": op8_quality,
+    "op9_langid": op9_langid,
     "op10_decontam": op10_decontam,
 }
