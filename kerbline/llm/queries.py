@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat, decontam, html, langid, media, mixing, quality, simhash, warc
+from kerbline.llm import chat, decontam, html, langid, media, mixing, ppm, quality, simhash, warc
 from kerbline.llm.common import stage_path
 
 
@@ -22,6 +22,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy("_at", "doc_id").drop("_at")
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.pretrained(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
@@ -66,6 +70,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_ppm": op2_ppm,
     "op3_warc": op3_warc,
     "op4_media": op4_media,
     "op5_html": op5_html,
