@@ -15,9 +15,9 @@ distance.
 
 Dense groups would pair up by the square. So fingerprints that agree outside one of the
 runs of ``distance`` bits are first linked to the least of them (no more bits can
-differ), by a grouped minimum. The denser a group, the more of it this joins; what is
-then in one class is not paired again, as the probing join only yields pairs of
-different classes. No link between classes is lost.
+differ), by a grouped minimum, and distances above 4 are reached in steps. The denser a
+group, the more of it this joins; what is in one class is not paired again, as the
+probing join only yields pairs of different classes. No link between classes is lost.
 
 Defined results: null or empty text has fingerprint 0 and links like any other; a null
 doc_id has a class, of which it is never the smallest id unless all are null; repeated
@@ -185,14 +185,22 @@ def probe_links(fps: DataFrame, parts: list[tuple[list[int], int]], distance: in
     return probe.join(index, on).select("a", "b")
 
 
-def classes(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """fps: distinct ``fp``. Returns (fp, root): the least fingerprint of its class, signed order."""
+def classes(fps: DataFrame, distance: int = 4, stride: int = 2) -> DataFrame:
+    """fps: distinct ``fp``. Returns (fp, root): the least fingerprint of its class, signed order.
+
+    Larger distances are reached in steps from 4: what a step links, the next doesn't pair again.
+    """
     fps = stage(fps.select("fp"), "simhash-fps")
     n, together = bit_statistics(fps)
-    first = connected_components(sure_links(fps, distance))
-    rooted = _rooted(fps, first)
-    second = connected_components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(probe_links(rooted, plan(n, together, distance), distance))) if n else first
-    return _rooted(fps, second)
+    radii = [*range(min(4, distance), distance, stride), distance]
+    labels = connected_components(sure_links(fps, radii[0])) if radii[0] else None
+    for radius in radii if n else ():
+        rooted = fps.withColumn("root", F.col("fp")) if labels is None else _rooted(fps, labels)
+        links = probe_links(rooted, plan(n, together, radius), radius)
+        if labels is not None:
+            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        labels = connected_components(links)
+    return fps.withColumn("root", F.col("fp")) if labels is None else _rooted(fps, labels)
 
 
 def _rooted(fps: DataFrame, labels: DataFrame) -> DataFrame:
@@ -210,13 +218,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 8) -> DataFrame:
     """Of each class the row of the smallest doc_id (of rows that share it, one), all columns kept.
 
-    Rows of a null doc_id stay only where their class has no other id.
+    Rows of a null doc_id only stand for themselves: of each text one stays.
     """
-    marked = near_duplicates(docs, words, distance).select("doc_id", "component_id")
-    keep = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct()
-    _id = F.col("doc_id").alias("_id")
-    kept = docs.join(keep.select(_id), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    marked = near_duplicates(docs.where(F.col("doc_id").isNotNull()), words, distance)
+    keep = marked.where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    kept = docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
