@@ -6,7 +6,8 @@ steps over whole arrays. A chunk is named by its SHA-256.
 
 Storing. The media are the distinct payloads. A *manifest* lists each row's payload digest,
 sizes and chunk digests; a join on the digests finds which chunks several media share. A
-*pack* holds a medium's own chunks, the *pool* holds each shared chunk once. So every
+*pack* holds a medium's ordered chunk list and its own chunks, the *pool* holds each shared
+chunk once. So every
 chunk's bytes are stored once, and those of unshared chunks lie where they are read.
 
 Reading. Packs that share nothing are complete; the others get the shared chunks from a
@@ -103,6 +104,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *names])
 
 
+_CHUNKS = pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("bytes", pa.binary())]))
+
+
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=9, write_checksum=False, write_content_size=True)
     for b in batches:
@@ -110,8 +114,8 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column("text").to_pylist():
             payload, _ = payload_of(text)
             media.append(hashlib.sha256(payload).digest())
-            chunks.append([press.compress(x) for x in chunks_of(payload)])
-        yield pa.RecordBatch.from_arrays([pa.array(media, pa.binary()), pa.array(chunks, pa.list_(pa.binary()))], names=["media", "chunks"])
+            chunks.append([{"digest": hashlib.sha256(x).digest(), "length": len(x), "bytes": press.compress(x)} for x in chunks_of(payload)])
+        yield pa.RecordBatch.from_arrays([pa.array(media, pa.binary()), pa.array(chunks, _CHUNKS)], names=["media", "chunks"])
 
 
 def write_store(docs: DataFrame, path: str) -> None:
@@ -130,11 +134,13 @@ def write_store(docs: DataFrame, path: str) -> None:
     lends = lends.groupBy(F.col("media").alias("_m")).agg(F.collect_list(F.struct("seq", "digest", "own")).alias("lent"))
     lends.write.parquet(f"{path}/lent")
     lends = spark.read.parquet(f"{path}/lent")
-    packed = docs.select("text").mapInArrow(_compressed, "media binary, chunks array<binary>").groupBy("media").agg(F.first("chunks").alias("chunks"))
+    packed = docs.select("text").mapInArrow(_compressed, "media binary, chunks array<struct<digest:binary,length:int,bytes:binary>>").groupBy("media").agg(F.first("chunks").alias("chunks"))
     packed = packed.join(lends, F.col("media") == F.col("_m"), "left")
     none = F.array().cast("array<struct<seq:int,digest:binary,own:boolean>>")
     packed = packed.select("media", "chunks", F.coalesce("lent", none).alias("lent"))
-    kept = F.transform("chunks", lambda c, i: F.when(~F.exists("lent", lambda x: x["seq"] == i), c))
+    empty = F.lit(None).cast("binary")
+    own = lambda c, i: F.when(F.exists("lent", lambda x: x["seq"] == i), empty).otherwise(c["bytes"])
+    kept = F.transform("chunks", lambda c, i: F.struct(c["digest"].alias("digest"), c["length"].alias("length"), own(c, i).alias("bytes")))
     pack = F.struct(F.lit("pack").alias("kind"), F.col("media").alias("key"), kept.alias("chunks"), (F.size("lent") > 0).alias("shares"))
     pool = F.transform(
         F.filter("lent", lambda x: x["own"]),
@@ -158,9 +164,10 @@ def _assemble(with_payload: bool):
         for b in batches:
             rows: list[tuple] = []
             payloads: list[bytes] = []
-            for media, digests, lengths, chunks, borrowed in zip(*(b.column(c).to_pylist() for c in ("media", "digests", "lengths", "chunks", "borrowed")), strict=True):
+            for media, chunks, borrowed in zip(*(b.column(c).to_pylist() for c in ("media", "chunks", "borrowed")), strict=True):
                 got = {x["seq"]: x["chunk"] for x in borrowed or ()}
-                stored = [got[i] if c is None else c for i, c in enumerate(chunks)]
+                digests, lengths = [c["digest"] for c in chunks], [c["length"] for c in chunks]
+                stored = [got[i] if c["bytes"] is None else c["bytes"] for i, c in enumerate(chunks)]
                 plain = [unpack.decompress(x) for x in stored]
                 if any(hashlib.sha256(x).digest() != d or len(x) != n for x, d, n in zip(plain, digests, lengths, strict=True)):
                     raise ValueError(f"a chunk of {media.hex()} does not have its digest")
@@ -186,16 +193,14 @@ def _assemble(with_payload: bool):
 def read_media(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Every distinct medium, verified and read back, with its figures."""
     chunks = spark.read.parquet(f"{path}/chunks")
-    manifest = spark.read.parquet(f"{path}/manifest")
     packs = chunks.where("kind = 'pack'").select(F.col("key").alias("media"), "chunks", "shares")
-    pool = chunks.where("kind = 'pool'").select(F.col("key").alias("_d"), F.element_at("chunks", 1).alias("chunk"))
+    pool = chunks.where("kind = 'pool'").select(F.col("key").alias("_d"), F.element_at("chunks", 1)["bytes"].alias("chunk"))
     lent = spark.read.parquet(f"{path}/lent").select(F.col("_m").alias("media"), F.inline("lent")).select("media", "seq", "digest")
     borrowed = lent.join(pool, F.col("digest") == F.col("_d")).groupBy(F.col("media").alias("_m")).agg(F.collect_list(F.struct("seq", "chunk")).alias("borrowed"))
-    listing = manifest.groupBy(F.col("media").alias("_l")).agg(F.first("digests").alias("digests"), F.first("lengths").alias("lengths"))
     kind = "array<struct<seq:int,chunk:binary>>"
     whole = packs.where("not shares").withColumn("borrowed", F.lit(None).cast(kind))
     partial = packs.where("shares").join(borrowed, F.col("media") == F.col("_m")).drop("_m")
-    rows = whole.unionByName(partial).join(listing, F.col("media") == F.col("_l")).select("media", "digests", "lengths", "chunks", "borrowed")
+    rows = whole.unionByName(partial).select("media", "chunks", "borrowed")
     return rows.mapInArrow(_assemble(with_payload), _READ + (", payload binary" if with_payload else ""))
 
 
