@@ -287,7 +287,20 @@ def evt5(spark, sf):
     return E.mean_by_condition(_speeds(spark, sf), "speed", "speed").withColumn("speed", F.round("speed", 9))
 
 
-flagship = evt5
+@query(
+    "crossing_time",
+    _with(V.DETECTIONS, V.SEGMENTS, _CROSSED.replace(f"<= {LEFT}", "<= 0.45").replace(f">= {RIGHT}", ">= 0.55"), _TIMES)
+    + "SELECT country, CASE WHEN grouping(condition) = 1 THEN 2 ELSE condition END AS condition, round(avg(crossing_time_s), 9) AS crossing_time_s FROM times GROUP BY GROUPING SETS ((country, condition), (country))",
+)
+def crossing_time(spark, sf):
+    """Mean crossing time by country and time of day, and over both."""
+    det, segs = V.detections(spark, sf), V.segments(spark, sf)
+    times = E.crossing_times(det, E.crossings(det), segs)
+    where = F.broadcast(segs.select(*E.SEGMENT, "country", F.col("time_of_day").alias("condition")))
+    return E.mean_by_condition(times.join(where, E.SEGMENT), "crossing_time_s", "crossing_time_s").withColumn("crossing_time_s", F.round("crossing_time_s", 9))
+
+
+flagship = crossing_time
 
 _HESITATION = """w AS (SELECT *, row_number() OVER o AS rn, lead(x, 10) OVER o AS nx, first_value(x) OVER o AS x0, round(0.1 * avg(height) OVER (PARTITION BY unique_id), 9) + 1e-9 AS m
     FROM slow_tracks WINDOW o AS (PARTITION BY unique_id ORDER BY row_idx)),
