@@ -42,28 +42,40 @@ def select_features(columns: Sequence[str], mark: str = "0", without: Sequence[s
     return [c for c in columns if mark in c and not any(w in c for w in without)]
 
 
-def thin_labels(points: DataFrame, key: str, x: str, y: str, factor: float = 1.0, cells: int = 64) -> DataFrame:
-    """Distance to the nearest other point, and whether it exceeds the mean distance by the factor.
-
-    Points are binned to a grid; a point's nearest neighbour is searched in its own and the
-    adjoining cells, and, only where no hit there is proven nearest, among all points. One
-    point alone is infinitely far.
-    """
-    box = points.agg(F.min(x).alias("ax"), F.min(y).alias("ay"), F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y)).alias("side"))
+def _grid_level(points: DataFrame, left: DataFrame, key: str, cells: int) -> DataFrame:
+    """Nearest other point of ``left`` in its own and the adjoining cells of a grid; side of a cell as _s."""
     size = F.when(F.col("side") > 0, F.col("side") / cells).otherwise(F.lit(1.0))
-    grid = points.select(key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).crossJoin(F.broadcast(box))  # one row
-    grid = grid.select(key, "_x", "_y", size.alias("_s"), F.floor((F.col("_x") - F.col("ax")) / size).alias("_i"), F.floor((F.col("_y") - F.col("ay")) / size).alias("_j"))
+
+    def binned(rows: DataFrame) -> DataFrame:
+        cell = lambda c, low: F.floor((F.col(c) - F.col(low)) / size)
+        return rows.select("*", size.alias("_s"), cell("_x", "_ax").alias("_i"), cell("_y", "_ay").alias("_j"))
+
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    near = grid.select("*", F.explode(shifts).alias("d")).select(F.col(key).alias("_k"), F.col("_x").alias("_u"), F.col("_y").alias("_v"), (F.col("_i") + F.col("d.a")).alias("_a"), (F.col("_j") + F.col("d.b")).alias("_b"))
+    near = binned(left).select("*", F.explode(shifts).alias("_d")).withColumns({"_i": F.col("_i") + F.col("_d.a"), "_j": F.col("_j") + F.col("_d.b")}).drop("_d")
+    other = binned(points).select(F.col(key).alias("_k"), F.col("_x").alias("_u"), F.col("_y").alias("_v"), F.col("_i").alias("_a"), F.col("_j").alias("_b"))
     far = F.sqrt((F.col("_x") - F.col("_u")) * (F.col("_x") - F.col("_u")) + (F.col("_y") - F.col("_v")) * (F.col("_y") - F.col("_v")))
-    met = grid.join(near, (F.col("_i") == F.col("_a")) & (F.col("_j") == F.col("_b")) & (F.col(key) != F.col("_k")), "left")
-    met = met.groupBy(key, "_x", "_y", "_s").agg(F.min(far).alias("d"))
-    sure = met.where("d <= _s").select(key, "d")
-    rest = met.where("d is null or d > _s")
-    # isolated points only: a ring outside the neighbouring cells may be nearer
-    other = grid.select(F.col(key).alias("_k"), F.col("_x").alias("_u"), F.col("_y").alias("_v"))
-    slow = rest.drop("d").join(other, F.col(key) != F.col("_k"), "left").groupBy(key).agg(F.min(far).alias("d"))
-    nearest = sure.unionByName(slow).withColumn("d", F.coalesce("d", F.lit(float("inf"))))
+    met = near.join(other, (F.col("_i") == F.col("_a")) & (F.col("_j") == F.col("_b")) & (F.col(key) != F.col("_k")), "left")
+    return met.groupBy(key, "_x", "_y", "_ax", "_ay", "side", "_s").agg(F.min(far).alias("d"))
+
+
+def thin_labels(points: DataFrame, key: str, x: str, y: str, factor: float = 1.0, grids: Sequence[int] = (64, 8, 1)) -> DataFrame:
+    """Distance to the nearest other point, and whether it exceeds the mean distance by the factor.
+
+    Points are binned to a grid and meet those of their own and the adjoining cells by an
+    equi-join; a hit within a cell's side is proven nearest. The others go on to a
+    coarser grid. They lie apart by more than a cell's side, so they are at most a few for
+    each coarser cell, and a level costs no more than a few times the points. One point
+    alone is infinitely far.
+    """
+    box = points.agg(F.min(x).cast("double").alias("_ax"), F.min(y).cast("double").alias("_ay"), F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y)).cast("double").alias("side"))
+    rows = points.select(key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).crossJoin(F.broadcast(box))  # box is one row
+    left, nearest = rows, None
+    for cells in grids:
+        met = _grid_level(rows, left, key, cells)
+        sure = met.select(key, "d") if cells == grids[-1] else met.where("d <= _s").select(key, "d")
+        nearest = sure if nearest is None else nearest.unionByName(sure)
+        left = met.where("d is null or d > _s").drop("_s", "d")
+    nearest = nearest.withColumn("d", F.coalesce("d", F.lit(float("inf"))))
     mean = nearest.agg((F.avg("d") * factor).alias("_m"))
     return points.join(nearest.crossJoin(F.broadcast(mean)).select(key, F.col("d").alias("nn_distance"), (F.col("d") > F.col("_m")).alias("labelled")), key)
 

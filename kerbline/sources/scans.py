@@ -25,18 +25,18 @@ def scan_detections(spark: SparkSession, folders: Sequence[str], mapping: DataFr
 
     Files whose video isn't in the mapping are left out, as are those whose first mapping row
     is of a country not listed (no list: all; case ignored). Of files with the same stem
-    that of the last folder counts. Damaged files are skipped. row_idx follows the
-    order of a file's rows, as a file is read in order.
+    that of the last folder counts. Damaged files are skipped. row_idx (the
+    place of the file's split, then of the row in it) sorts as the file's rows stand.
     """
     found = _existing(spark, folders)
-    empty = "video_id string, start_time int, row_idx long, yolo_id int, x double, y double, width double, height double, unique_id long, frame_count int"
+    empty = "video_id string, start_time int, row_idx struct<block:long,row:long>, yolo_id int, x double, y double, width double, height double, unique_id long, frame_count int"
     if not found:
         return spark.createDataFrame([], empty)
     parts = []
     for rank, folder in enumerate(found):
         rows = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.csv").option("mode", "PERMISSIVE").schema(DETECTION_CSV).csv(folder, header=True, enforceSchema=True)
         meta = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-        parts.append(meta.withColumn("_rank", F.lit(rank)).withColumn("row_idx", F.monotonically_increasing_id()))
+        parts.append(meta.withColumn("_rank", F.lit(rank)).withColumn("row_idx", F.struct(F.col("_block").alias("block"), F.monotonically_increasing_id().alias("row"))))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
