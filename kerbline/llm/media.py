@@ -108,13 +108,15 @@ _CHUNKS = pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), (
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=9, write_checksum=False, write_content_size=True)
+    press = zstandard.ZstdCompressor(level=15, write_checksum=False, write_content_size=True)
     for b in batches:
         media, chunks = [], []
         for text in b.column("text").to_pylist():
             payload, _ = payload_of(text)
             media.append(hashlib.sha256(payload).digest())
-            chunks.append([{"digest": hashlib.sha256(x).digest(), "length": len(x), "bytes": press.compress(x)} for x in chunks_of(payload)])
+            parts = chunks_of(payload)
+            # the digest of an only chunk is the medium's
+            chunks.append([{"digest": hashlib.sha256(x).digest() if len(parts) > 1 else None, "length": len(x), "bytes": press.compress(x)} for x in parts])
         yield pa.RecordBatch.from_arrays([pa.array(media, pa.binary()), pa.array(chunks, _CHUNKS)], names=["media", "chunks"])
 
 
@@ -149,7 +151,8 @@ def write_store(docs: DataFrame, path: str) -> None:
     packed.select(F.inline(F.concat(F.array(pack), pool))).write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{path}/chunks")
 
 
-_READ = "media binary, n_chunks int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_STORED = "key binary, chunks array<struct<digest:binary,length:int,bytes:binary>>, shares boolean, kind string"
+_READ = "media binary, n_chunks int, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 def feature_of(payload: bytes) -> str:
@@ -166,21 +169,22 @@ def _assemble(with_payload: bool):
             payloads: list[bytes] = []
             for media, chunks, borrowed in zip(*(b.column(c).to_pylist() for c in ("media", "chunks", "borrowed")), strict=True):
                 got = {x["seq"]: x["chunk"] for x in borrowed or ()}
-                digests, lengths = [c["digest"] for c in chunks], [c["length"] for c in chunks]
+                digests, lengths = [c["digest"] or media for c in chunks], [c["length"] for c in chunks]
                 stored = [got[i] if c["bytes"] is None else c["bytes"] for i, c in enumerate(chunks)]
                 plain = [unpack.decompress(x) for x in stored]
                 if any(hashlib.sha256(x).digest() != d or len(x) != n for x, d, n in zip(plain, digests, lengths, strict=True)):
                     raise ValueError(f"a chunk of {media.hex()} does not have its digest")
                 payload = b"".join(plain)
-                if hashlib.sha256(payload).digest() != media:
+                digest = hashlib.sha256(payload).digest()
+                if digest != media:
                     raise ValueError(f"{media.hex()} does not have its digest")
                 listing = b"".join(d + n.to_bytes(4, "big") for d, n in zip(digests, lengths, strict=True))
                 form = listing + b"".join(stored)
-                rows.append((media, len(stored), len(payload), media.hex(), zlib.crc32(payload[-32:]), len(form), hashlib.sha256(form).hexdigest(), feature_of(payload)))
+                rows.append((media, len(stored), len(payload), digest, zlib.crc32(payload[-32:]), len(form), hashlib.sha256(form).digest(), feature_of(payload)))
                 if with_payload:
                     payloads.append(payload)
             cols = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [pa.binary(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
             names = ["media", "n_chunks", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             arrays = [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]
             if with_payload:
@@ -192,7 +196,7 @@ def _assemble(with_payload: bool):
 
 def read_media(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Every distinct medium, verified and read back, with its figures."""
-    chunks = spark.read.parquet(f"{path}/chunks")
+    chunks = spark.read.schema(_STORED).parquet(f"{path}/chunks")
     packs = chunks.where("kind = 'pack'").select(F.col("key").alias("media"), "chunks", "shares")
     pool = chunks.where("kind = 'pool'").select(F.col("key").alias("_d"), F.element_at("chunks", 1)["bytes"].alias("chunk"))
     lent = spark.read.parquet(f"{path}/lent").select(F.col("_m").alias("media"), F.inline("lent")).select("media", "seq", "digest")
@@ -206,6 +210,8 @@ def read_media(spark: SparkSession, path: str, with_payload: bool = True) -> Dat
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """The figures of every row's medium; rows of one medium share them."""
-    media = read_media(spark, path, with_payload=False).withColumnRenamed("media", "_m")
+    media = read_media(spark, path, with_payload=False).drop("n_chunks", "payload_sha256").withColumnRenamed("media", "_m")  # the digest is the verified key
     rows = spark.read.parquet(f"{path}/manifest").select("doc_id", "n_bytes", "media")
-    return rows.join(media, F.col("media") == F.col("_m")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    rows = rows.join(media, F.col("media") == F.col("_m"))
+    text = lambda c: F.lower(F.hex(c))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", text("media").alias("payload_sha256"), "tail_crc32", "media_bytes", text("media_sha256").alias("media_sha256"), "feature")
