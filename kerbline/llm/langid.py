@@ -30,14 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import id_remainder, mix64, stage
+from kerbline.llm.common import id_remainder, stage
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = 24
-CACHE_UNITS = 300_000
+CACHE_RUNS = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def load_pieces(path: str = VOCABULARY) -> list[str]:
@@ -49,73 +48,71 @@ def load_pieces(path: str = VOCABULARY) -> list[str]:
     return sorted(p for p in pieces if p == p.lower() and (x := p.removeprefix(_MARK)) and (x.isalpha() or not x) or p == _MARK)
 
 
-def units(text: str | None) -> list[str]:
-    """Letter runs of a text as units; a mark opens a run."""
-    out = []
-    for run in _LETTERS.findall((text or "").lower()):
-        if len(run) < UNIT:
-            out.append(_MARK + run)
-        else:
-            run = _MARK + run
-            out += [run[i : i + UNIT] for i in range(0, len(run), UNIT)]
-    return out
+def runs(text: str | None) -> list[str]:
+    """Letter runs of a lowered text."""
+    return _LETTERS.findall((text or "").lower())
+
+
+def units(run: str) -> list[str]:
+    """A run as the model reads it: marked at its start, cut every ``UNIT`` letters."""
+    run = _MARK + run
+    return [run] if len(run) <= UNIT else [run[i : i + UNIT] for i in range(0, len(run), UNIT)]
 
 
 class Pieces:
-    """Hash lookup of pieces by their characters; the last id is the unknown piece."""
+    """A trie over the pieces, as tables; the last id is the unknown piece.
+
+    ``step[node, letter]`` is the next node or 0; letters are numbered as far as they stand in
+    pieces of two or more characters, others have number 0 and lead nowhere.
+    """
 
     def __init__(self, pieces: list[str]) -> None:
-        self.pieces = pieces
+        self.pieces, self.unknown = pieces, len(pieces)
         self.longest = max(map(len, pieces), default=1)
-        keys = np.zeros(len(pieces) + 1, np.uint64)
+        letters = sorted({c for p in pieces if len(p) > 1 for c in p})
+        self.letter = np.zeros(0x110000, np.uint16)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.single = np.full(0x110000, self.unknown, np.int32)
         for i, p in enumerate(pieces):
-            h = 0
-            for c in p:
-                h = (h * int(_BASE) + ord(c) + 1) & (2**64 - 1)
-            keys[i] = h
-        self.keys, self.bits = keys, max(16, int(len(pieces)).bit_length() + 5)
-        table, self.reach = np.full((1 << self.bits) + len(pieces), len(pieces), np.int32), 1
-        for i, s in enumerate(self._slots(keys[:-1]).tolist()):
-            step = 0
-            while table[s + step] != len(pieces):
-                step += 1
-            table[s + step] = i
-            self.reach = max(self.reach, step + 1)
-        self.table = table[: (1 << self.bits) + self.reach]
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return (mix64(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def ids(self, keys: np.ndarray) -> np.ndarray:
-        """Id of each key, or the unknown id."""
-        slot = self._slots(keys)
-        unknown = self.keys.size - 1
-        out = np.full(keys.size, unknown, np.int32)
-        for step in range(self.reach):
-            at = self.table[slot + step]
-            ok = (self.keys[at] == keys) & (at != unknown)
-            out[ok] = at[ok]
-        return out
+            if len(p) == 1:
+                self.single[ord(p)] = i
+        nodes: dict[str, int] = {"": 1}
+        for p in pieces:
+            if len(p) > 1:
+                for k in range(1, len(p) + 1):
+                    nodes.setdefault(p[:k], len(nodes) + 1)
+        self.step = np.zeros((len(nodes) + 1, len(letters) + 1), np.int32)
+        self.piece = np.full(len(nodes) + 1, -1, np.int32)
+        for prefix, node in nodes.items():
+            if prefix:
+                self.step[nodes[prefix[:-1]], self.letter[ord(prefix[-1])]] = node
+        for i, p in enumerate(pieces):
+            if len(p) > 1:
+                self.piece[nodes[p]] = i
+
+    def __reduce__(self):
+        return Pieces, (self.pieces,)
 
 
 def _lattice(pieces: Pieces, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(start, end, rows, ids) of every piece in units of one length, by end."""
     n, size = len(texts), len(texts[0])
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(n, size).astype(np.uint64) + np.uint64(1)
-    unknown = pieces.keys.size - 1
-    rows = np.arange(n)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(n, size).T
+    letters = pieces.letter[codes]
     found: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(size + 1)]
-    with np.errstate(over="ignore"):
-        for i in range(size):
-            key = np.zeros(n, np.uint64)
-            for j in range(i + 1, min(size, i + pieces.longest) + 1):
-                key = key * _BASE + codes[:, j - 1]
-                ids = pieces.ids(key)
-                hit = np.flatnonzero(ids != unknown)
-                if j == i + 1:
-                    found[j].append((i, rows, ids))  # unknown characters keep the unknown id
-                elif hit.size:
-                    found[j].append((i, hit, ids[hit]))
+    for i in range(size):
+        found[i + 1].append((i, np.arange(n), pieces.single[codes[i]]))  # what is no piece is unknown
+        node, rows = pieces.step[1, letters[i]], None
+        for j in range(i + 1, min(size, i + pieces.longest)):
+            on = np.flatnonzero(node)
+            if not on.size:
+                break
+            rows = on if rows is None else rows[on]
+            node = pieces.step[node[on], letters[j][rows]]
+            ids = pieces.piece[node]
+            hit = np.flatnonzero((ids >= 0) & (node > 0))
+            if hit.size:
+                found[j + 1].append((i, rows[hit], ids[hit]))
     for j in range(1, size + 1):
         for i, at, ids in found[j]:
             yield i, j, at, ids
@@ -146,6 +143,13 @@ def likelihoods(pieces: Pieces, probs: np.ndarray, texts: list[str]) -> np.ndarr
     return out
 
 
+def run_likelihoods(pieces: Pieces, probs: np.ndarray, found: list[str]) -> np.ndarray:
+    """Log likelihood of each letter run: the sum over its units."""
+    parts = [units(r) for r in found]
+    first = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
+    return np.add.reduceat(likelihoods(pieces, probs, [u for p in parts for u in p]), first, axis=0)
+
+
 def expected_counts(pieces: Pieces, probs: np.ndarray, texts: list[str], weights: np.ndarray) -> np.ndarray:
     """Expected number of each piece over all segmentations of weighted units (forward-backward)."""
     total = np.zeros(probs.size)
@@ -186,20 +190,20 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, held_out
         tally: dict[str, Counter] = {}
 
         def flush() -> pa.RecordBatch:
-            flat = [(lang, u, n) for lang, c in tally.items() for u, n in c.items()]
+            flat = [(lang, r, n) for lang, c in tally.items() for r, n in c.items()]
             tally.clear()
             cols = list(zip(*flat, strict=True)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "unit", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "run", "n"])
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                tally.setdefault(lang, Counter()).update(units(text))
-                if sum(map(len, tally.values())) > CACHE_UNITS:
+                tally.setdefault(lang, Counter()).update(runs(text))
+                if sum(map(len, tally.values())) > CACHE_RUNS:
                     yield flush()
         yield flush()
 
-    counted = rows.select("lang", "text").mapInArrow(count, "lang string, unit string, n long")
-    counted = stage(counted.groupBy("lang", "unit").agg(F.sum("n").alias("n")), "langid-units")
+    counted = rows.select("lang", "text").mapInArrow(count, "lang string, run string, n long")
+    counted = stage(counted.groupBy("lang", "run").agg(F.sum("n").alias("n")), "langid-runs")
     langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     size = len(pieces.pieces) + 1
     probs = np.full((size, len(langs)), 1.0 / size)
@@ -221,10 +225,11 @@ def _expect(shared):
         total = np.zeros(probs.T.shape)
         for b in batches:
             of = np.array([at[x] for x in b.column("lang").to_pylist()], np.int64)
-            text, n = b.column("unit").to_pylist(), b.column("n").to_numpy()
+            parts, n = [units(r) for r in b.column("run").to_pylist()], b.column("n").to_numpy()
             for k in np.unique(of).tolist():
-                rows = np.flatnonzero(of == k)
-                total[k] += expected_counts(pieces, np.ascontiguousarray(probs[:, k]), [text[i] for i in rows.tolist()], n[rows].astype(float))
+                rows = np.flatnonzero(of == k).tolist()
+                weights = np.repeat(n[rows], [len(parts[i]) for i in rows]).astype(float)
+                total[k] += expected_counts(pieces, np.ascontiguousarray(probs[:, k]), [u for i in rows for u in parts[i]], weights)
         lang, piece = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[lang, piece])], names=["lang", "piece", "n"])
 
@@ -232,35 +237,44 @@ def _expect(shared):
 
 
 class Scorer:
-    """Predictions for texts; remembers the likelihoods of recent units."""
+    """Predictions for texts; remembers the likelihoods of recent letter runs."""
 
     def __init__(self, langs: list[str], pieces: Pieces, probs: np.ndarray) -> None:
         self.langs, self.pieces, self.probs = langs, pieces, probs
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(langs)))
-
-    def _rows(self, texts: list[list[str]]) -> list[list[int]]:
-        if len(self.known) > CACHE_UNITS:
-            self.known, self.table = {}, np.zeros((0, len(self.langs)))
-        before, known = len(self.known), self.known
-        rows = [[known.setdefault(u, len(known)) for u in doc] for doc in texts]
-        fresh = list(known)[before:] if len(known) > before else []
+        self.table = np.zeros((CACHE_RUNS + 1, len(self.langs)))
+
+    def _rows(self, flat: list[str]) -> np.ndarray:
+        fresh = list(set(flat).difference(self.known))
+        if fresh and len(self.known) + len(fresh) > CACHE_RUNS:
+            self._forget()
+            fresh = list(set(flat))
         if fresh:
-            self.table = np.concatenate([self.table, likelihoods(self.pieces, self.probs, fresh)])
-        return rows
+            first = len(self.known)
+            if first + len(fresh) > len(self.table):  # a batch of more runs than are kept
+                self.table = np.zeros((first + len(fresh), len(self.langs)))
+            self.table[first : first + len(fresh)] = run_likelihoods(self.pieces, self.probs, fresh)
+            self.known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
-        for k in range(0, len(texts), 256):
-            docs = [units(x) for x in texts[k : k + 256]]
-            for doc, rows in zip(docs, self._rows(docs) if self.langs else docs, strict=True):
-                if not self.langs or not any(c.isalpha() for u in doc for c in u):
+        for k in range(0, len(texts), 1024):
+            docs = [runs(x) for x in texts[k : k + 1024]]
+            flat = [r for doc in docs for r in doc]
+            rows = self._rows(flat) if self.langs else np.zeros(0, np.int64)
+            at = 0
+            for doc in docs:
+                if not self.langs or not any(c.isalpha() for r in doc for c in r):
                     out.append(("und", 0.0))
-                    continue
-                total = self.table[rows].sum(axis=0)
-                odds = np.exp(total - total.max())
-                best = int(odds.argmax())
-                out.append((self.langs[best], float(1 / odds.sum())))
+                else:
+                    total = self.table[rows[at : at + len(doc)]].sum(axis=0)
+                    odds = np.exp(total - total.max())
+                    out.append((self.langs[int(odds.argmax())], float(1 / odds.sum())))
+                at += len(doc)
         return out
 
 

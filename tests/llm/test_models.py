@@ -46,8 +46,9 @@ def test_forward_sums_all_segmentations():
 
 
 def test_units_cover_whole_texts():
-    assert langid.units("Ab, c1d\nÉ_" + "x" * 60) == ["▁ab", "▁c", "▁d", "▁é", "▁" + "x" * 23, "x" * 24, "x" * 13]
-    assert langid.units(None) == [] and langid.units("12 .,") == []
+    found = langid.runs("Ab, c1d\nÉ_" + "x" * 60)
+    assert [u for r in found for u in langid.units(r)] == ["▁ab", "▁c", "▁d", "▁é", "▁" + "x" * 23, "x" * 24, "x" * 13]
+    assert langid.runs(None) == [] and langid.runs("12 .,") == []
 
 
 def test_language_held_out_accuracy(spark, sf):
