@@ -78,9 +78,12 @@ def dual_descent(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray,
     Each class has the same total cost, so the rare one isn't drowned.
     """
     sign = np.where(labels == 1, 1.0, -1.0)
-    values = [scale[r] for r in rows]
-    norms = np.array([np.sqrt(v @ v) + 1e-12 for v in values])
-    values = [v / n for v, n in zip(values, norms, strict=True)]
+    # all values in one array that is given back at once; rows see their parts of it
+    ends = np.cumsum([r.size for r in rows])
+    flat = scale[np.concatenate(rows)]
+    values = [flat[e - r.size : e] for r, e in zip(rows, ends.tolist(), strict=True)]
+    for v in values:
+        v /= np.sqrt(v @ v) + 1e-12
     share = np.array([max((labels == k).mean(), 1e-9) for k in (0, 1)])
     upper = cost * 0.5 / share[labels]
     dual, weights, bias = np.zeros(len(rows)), np.zeros(1 << BITS), 0.0
