@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 import numpy as np
@@ -39,6 +41,18 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps that nothing refers to any more.
+
+    It acts on garbage collections of the driver. The first may come while the events of the
+    last step, which refer to its plan, still wait for their listeners; so there are two.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def discard_stages(spark: SparkSession) -> None:
     """Delete what this application staged; call it once results are written."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -21,10 +21,11 @@ Scale. Documents are dealt into blocks of about ``BLOCK_BYTES``. Each block give
 (context, symbol) keys and words once, with their training counts, as 64-bit keys: rows grow with
 the corpus, far slower than its positions. Counts are summed by key, log probabilities are
 joined to the keys that each block needs, and a block is scored from its own keys alone.
-So no worker holds the model, and no table is broadcast.
+So no worker holds the model, and no table is broadcast. The blocks are scored in
+``WAVES``, so that only a part of what is shuffled lies on disk at once.
 
-Words are keyed by 64-bit hashes; two of k distinct words collide with a chance of about
-k^2 / 2^65.
+Words are keyed by 63-bit hashes; two of k distinct words collide with a chance of about
+k^2 / 2^64.
 
 Defined results: null text is empty, i.e. one end token; a null doc_id hashes as the empty
 text; repeated rows count as often as they occur; without training rows all symbols are
@@ -38,18 +39,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import LOWER, NOT_SPACE, id_remainder, mix64, span_keys, stage, word_spans
+from kerbline.llm.common import LOWER, NOT_SPACE, id_remainder, mix64, release, span_keys, stage, word_spans
 
 ORDER = 5
-BLOCK_BYTES = 32 << 20
-BATCH_BYTES = 2 << 20
+BLOCK_BYTES = 16 << 20
+BATCH_BYTES = 1 << 20
+#: Scoring goes in so many waves of blocks, so that no more than a part of the shuffled rows is on disk at once.
+WAVES = 4
 #: Symbols take 9 bits: bytes and the boundary mark, which is also the end of a text.
 WIDTH, EDGE, SYMBOLS = 9, 256, 257
-GRAM, WORD = 0, 1
-END_KEY = 0
+#: Words have the sign bit set; the end token has no other.
+WORD = np.uint64(1 << 63)
 
 
 def _lowered(text: str | None) -> np.ndarray:
@@ -85,11 +89,12 @@ def word_keys(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     flat = np.concatenate([np.append(t, np.uint8(32)) for t in texts]) if texts else np.zeros(0, np.uint8)
     starts, ends = word_spans(NOT_SPACE[flat])
     keys = span_keys(flat, starts, ends)
-    keys[keys == END_KEY] = 1
+    keys |= WORD
+    keys[keys == WORD] = WORD | np.uint64(1)
     stops = np.cumsum([t.size + 1 for t in texts])
     upto = np.searchsorted(starts, stops)
     counts = np.diff(np.concatenate([[0], upto]))
-    return np.insert(keys, upto, np.uint64(END_KEY)).view(np.int64), counts + 1
+    return np.insert(keys, upto, WORD).view(np.int64), counts + 1
 
 
 class KeyTable:
@@ -122,12 +127,12 @@ class KeyTable:
         return self.values[found]
 
 
-def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of bounded size together."""
+def _batches(texts: pa.Array, at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of the places ``at`` whose texts have a bounded size together (one may exceed it)."""
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "") + 1
-        if size >= BATCH_BYTES or i + 1 == len(texts):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_numpy()[at].tolist()):
+        size += n + 1
+        if size >= BATCH_BYTES or i + 1 == at.size:
             yield first, i + 1
             first, size = i + 1, 0
 
@@ -148,32 +153,32 @@ def _unique(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(order: int):
-    """(block, kind, key, n): the distinct keys of the block's rows in a task, n from its training rows."""
+    """(block, key, n): the distinct keys of the block's rows in a task, n from its training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[list, list]] = {}
+        held: dict[int, tuple[list, list]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (block, kind), (keys, counts) in held.items():
-                k, n = _tallied(keys, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k.size, block, np.int64)), pa.array(np.full(k.size, kind, np.int32)), pa.array(k), pa.array(n)], names=["block", "kind", "key", "n"])
+            for block, lists in held.items():
+                k, n = _tallied(*lists)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k.size, block, np.int64)), pa.array(k), pa.array(n)], names=["block", "key", "n"])
 
         for b in batches:
-            blocks, learn, texts = b.column("block").to_numpy(), b.column("learn").to_numpy(zero_copy_only=False), b.column("text").to_pylist()
+            blocks, learn, texts = b.column("block").to_numpy(), b.column("learn").to_numpy(zero_copy_only=False), b.column("text")
             for block in np.unique(blocks).tolist():
+                lists = held.setdefault(block, ([], []))
                 for use in (False, True):
-                    own = [texts[i] for i in np.flatnonzero((blocks == block) & (learn == use)).tolist()]
-                    for i, j in _batches(own):
-                        low = [_lowered(t) for t in own[i:j]]
-                        for kind, keys in ((GRAM, gram_keys(low, order)[0]), (WORD, word_keys(low)[0])):
+                    at = np.flatnonzero((blocks == block) & (learn == use))
+                    for i, j in _batches(texts, at):
+                        low = [_lowered(t) for t in texts.take(pa.array(at[i:j])).to_pylist()]
+                        for keys in (gram_keys(low, order)[0], word_keys(low)[0]):
                             k, n = _unique(keys, int(use))
-                            lists = held.setdefault((block, kind), ([], []))
                             lists[0].append(k)
                             lists[1].append(n)
-                            if len(lists[0]) >= 8:
-                                merged = _tallied(*lists)
-                                held[block, kind] = ([merged[0]], [merged[1]])
-            if sum(k.size for lists in held.values() for k in lists[0]) > 6_000_000:
+                        if len(lists[0]) >= 16:
+                            k, n = _tallied(*lists)
+                            lists[0][:], lists[1][:] = [k], [n]
+            if sum(k.size for lists in held.values() for k in lists[0]) > 3_000_000:
                 yield from out()
                 held.clear()
         yield from out()
@@ -232,15 +237,15 @@ _SCORES = "n_tokens long, n_known long, base_score double, score double"
 
 def _score(order: int, tokens: int, distinct: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind, key, value = (right.column(c).to_numpy() for c in ("kind", "key", "value"))
-        grams = KeyTable(key[kind == GRAM], value[kind == GRAM])
-        words = KeyTable(key[kind == WORD], value[kind == WORD])
-        del kind, key, value
-        texts = left.column("text").to_pylist()
+        key, value = right.column("key").to_numpy(), right.column("value").to_numpy()
+        grams = KeyTable(key[key >= 0], value[key >= 0])
+        words = KeyTable(key[key < 0], value[key < 0])
+        del key, value
+        texts = left.column("text").combine_chunks()
         cols: list[list[np.ndarray]] = [[], [], [], []]
         floor = math.log10(1 / (tokens + distinct + 1))
-        for i, j in _batches(texts):
-            low = [_lowered(t) for t in texts[i:j]]
+        for i, j in _batches(texts, np.arange(len(texts))):
+            low = [_lowered(t) for t in texts.slice(i, j - i).to_pylist()]
             keys, sizes = gram_keys(low, order)
             begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             cols[3].append(np.add.reduceat(grams[keys], begin))
@@ -262,22 +267,31 @@ def pretrained(docs: DataFrame, held_out: tuple[int, int] = (7, 2), order: int =
 
     Learned from the rows whose crc32(doc_id) has another remainder than held_out's.
     """
+    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (id_remainder(F.col("doc_id"), held_out[0]) == held_out[1]).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = int(max(1, -(-size // block_bytes)))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
     dealt = rows.select(block, "doc_id", "held_out", "text")
-    keyed = dealt.select("block", (~F.col("held_out")).alias("learn"), "text").repartition(blocks, "block").mapInArrow(_count(order), "block long, kind int, key long, n long")
+    keyed = dealt.select("block", (~F.col("held_out")).alias("learn"), "text").repartition(blocks, "block").mapInArrow(_count(order), "block long, key long, n long")
     keyed = stage(keyed, "ppm-keys")
-    totals = stage(keyed.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-totals")
-    sums = totals.where(f"kind = {WORD}").agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
+    release(spark)
+    totals = stage(keyed.groupBy("key").agg(F.sum("n").alias("n")), "ppm-totals")
+    release(spark)
+    words = totals.where("key < 0")
+    sums = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     tokens, distinct = int(sums["n"] or 0), int(sums["v"] or 0)
-    grams = log_probabilities(totals.where(f"kind = {GRAM}").select("key", "n"), order)
-    values = grams.select(F.lit(GRAM).alias("_kind"), F.col("key").alias("_key"), F.col("lp").alias("value"))
-    values = values.unionByName(totals.where(f"kind = {WORD}").select(F.col("kind").alias("_kind"), F.col("key").alias("_key"), F.col("n").cast("double").alias("value")))
-    needed = keyed.select("block", "kind", "key").join(values, (F.col("kind") == F.col("_kind")) & (F.col("key") == F.col("_key"))).select("block", "kind", "key", "value")
+    values = log_probabilities(totals.where("key >= 0"), order).select(F.col("key").alias("_key"), F.col("lp").alias("value"))
+    values = stage(values.unionByName(words.select(F.col("key").alias("_key"), F.col("n").cast("double").alias("value"))), "ppm-values")
+    release(spark)
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, {_SCORES}"
-    scored = dealt.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_score(order, tokens, distinct), schema)
+    scored = None
+    for wave in range(WAVES):
+        turn = F.col("block") % WAVES == wave
+        needed = keyed.where(turn).select("block", "key").join(values, F.col("key") == F.col("_key")).select("block", "key", "value")
+        part = stage(dealt.where(turn).groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_score(order, tokens, distinct), schema), "ppm-scores")
+        scored = part if scored is None else scored.unionByName(part)
+        release(spark)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
