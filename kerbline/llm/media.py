@@ -35,9 +35,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.llm.common import release
+
 UNIT = 576
 PAD = b"\xff"
 CUT_BITS, LEAST, MOST = 12, 1024, 16384
+#: The store is written in so many waves of media, so that only a part of the payloads is in shuffle files at once.
+WAVES = 2
 
 
 def _gear() -> np.ndarray:
@@ -107,17 +111,25 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CHUNKS = pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("bytes", pa.binary())]))
 
 
-def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=15, write_checksum=False, write_content_size=True)
-    for b in batches:
-        media, chunks = [], []
-        for text in b.column("text").to_pylist():
-            payload, _ = payload_of(text)
-            media.append(hashlib.sha256(payload).digest())
-            parts = chunks_of(payload)
-            # the digest of an only chunk is the medium's
-            chunks.append([{"digest": hashlib.sha256(x).digest() if len(parts) > 1 else None, "length": len(x), "bytes": press.compress(x)} for x in parts])
-        yield pa.RecordBatch.from_arrays([pa.array(media, pa.binary()), pa.array(chunks, _CHUNKS)], names=["media", "chunks"])
+def _compressed(wave: int):
+    """The compressed chunks of the media of one wave, told by the first byte of their digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=15, write_checksum=False, write_content_size=True)
+        for b in batches:
+            media, chunks = [], []
+            for text in b.column("text").to_pylist():
+                payload, _ = payload_of(text)
+                key = hashlib.sha256(payload).digest()
+                if key[0] % WAVES != wave:
+                    continue
+                media.append(key)
+                parts = chunks_of(payload)
+                # the digest of an only chunk is the medium's
+                chunks.append([{"digest": hashlib.sha256(x).digest() if len(parts) > 1 else None, "length": len(x), "bytes": press.compress(x)} for x in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(media, pa.binary()), pa.array(chunks, _CHUNKS)], names=["media", "chunks"])
+
+    return run
 
 
 def write_store(docs: DataFrame, path: str) -> None:
@@ -136,8 +148,16 @@ def write_store(docs: DataFrame, path: str) -> None:
     lends = lends.groupBy(F.col("media").alias("_m")).agg(F.collect_list(F.struct("seq", "digest", "own")).alias("lent"))
     lends.write.parquet(f"{path}/lent")
     lends = spark.read.parquet(f"{path}/lent")
-    packed = docs.select("text").mapInArrow(_compressed, "media binary, chunks array<struct<digest:binary,length:int,bytes:binary>>").groupBy("media").agg(F.first("chunks").alias("chunks"))
-    packed = packed.join(lends, F.col("media") == F.col("_m"), "left")
+    for wave in range(WAVES):
+        packed = docs.select("text").mapInArrow(_compressed(wave), "media binary, chunks array<struct<digest:binary,length:int,bytes:binary>>").groupBy("media").agg(F.first("chunks").alias("chunks"))
+        packed = packed.join(lends, F.col("media") == F.col("_m"), "left")
+        _stored_rows(packed).write.mode("append").partitionBy("kind").option("compression", "uncompressed").parquet(f"{path}/chunks")
+        del packed
+        release(spark)
+
+
+def _stored_rows(packed: DataFrame) -> DataFrame:
+    """A pack of each medium, and the shared chunks that it is the first to have, for the pool."""
     none = F.array().cast("array<struct<seq:int,digest:binary,own:boolean>>")
     packed = packed.select("media", "chunks", F.coalesce("lent", none).alias("lent"))
     empty = F.lit(None).cast("binary")
@@ -148,7 +168,7 @@ def write_store(docs: DataFrame, path: str) -> None:
         F.filter("lent", lambda x: x["own"]),
         lambda x: F.struct(F.lit("pool").alias("kind"), x["digest"].alias("key"), F.array(F.element_at("chunks", x["seq"] + 1)).alias("chunks"), F.lit(False).alias("shares")),
     )
-    packed.select(F.inline(F.concat(F.array(pack), pool))).write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{path}/chunks")
+    return packed.select(F.inline(F.concat(F.array(pack), pool)))
 
 
 _STORED = "key binary, chunks array<struct<digest:binary,length:int,bytes:binary>>, shares boolean, kind string"
