@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language ID", tell_language),
     ("quality classifier", keep_quality),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("near-dedup by Jaccard similarity", drop_near_duplicates),
     ("benchmark decontamination", decontaminate),
     ("mixing sources to target weights", mix_sources),
 ]

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from kerbline.llm.common import stage
 from kerbline.llm.components import connected_components
+from kerbline.llm.jaccard import similar_classes, text_key
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -218,12 +219,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """Of each class the row of the smallest doc_id (of rows that share it, one), all columns kept.
 
-    Rows of a null doc_id only stand for themselves: of each text one stays.
+    Classes are what links of an exact Jaccard similarity of ``least`` or more between the word
+    shingles reach. Rows of a null doc_id only stand for themselves: of each text one stays.
     """
-    marked = near_duplicates(docs.where(F.col("doc_id").isNotNull()), words, distance)
-    keep = marked.where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("_key"))
+    rows = rows.where(F.col("doc_id").isNotNull())
+    labels = similar_classes(rows, words, least)
+    named = rows.select("doc_id", "_key").join(labels, F.col("_key") == F.col("node"), "left").select("doc_id", F.coalesce("root", "_key").alias("root"))
+    keep = named.groupBy("root").agg(F.min("doc_id").alias("_id")).select("_id")
     kept = docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
