@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import stage
+from kerbline.llm.common import free_name, stage
 from kerbline.llm.components import connected_components
 from kerbline.llm.jaccard import similar_classes, text_key
 
@@ -220,15 +220,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """Of each class the row of the smallest doc_id (of rows that share it, one), all columns kept.
+    """Of each class one row, all columns kept: that of the smallest doc_id, a null one last.
 
     Classes are what links of an exact Jaccard similarity of ``least`` or more between the word
-    shingles reach. Rows of a null doc_id only stand for themselves: of each text one stays.
+    shingles reach, whatever the ids are. Of rows that share the id, the least by a hash of all columns stays.
     """
-    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("_key"))
-    rows = rows.where(F.col("doc_id").isNotNull())
+    own = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("_key"), own.alias("_row"))
     labels = similar_classes(rows, words, least)
-    named = rows.select("doc_id", "_key").join(labels, F.col("_key") == F.col("node"), "left").select("doc_id", F.coalesce("root", "_key").alias("root"))
-    keep = named.groupBy("root").agg(F.min("doc_id").alias("_id")).select("_id")
-    kept = docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    named = rows.select("doc_id", "_key", "_row").join(labels, F.col("_key") == F.col("node"), "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "_key"))
+    keep = stage(named.groupBy(F.coalesce("root", "_key").alias("root")).agg(first.alias("x")).select("x.doc_id", "x._row", "x._key"), "near-kept")
+    mark = [free_name(docs, "_row"), free_name(docs, "_key")]
+    marked = docs.withColumn(mark[0], own).withColumn(mark[1], text_key(F.col("text")))
+    keep = keep.select(F.col("doc_id").alias("_i"), F.col("_row").alias("_r"), F.col("_key").alias("_k"))
+    same = (F.col(mark[0]) == F.col("_r")) & (F.col(mark[1]) == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_i"))
+    return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", *mark]).drop(*mark)

@@ -76,3 +76,15 @@ def test_keys_are_equal_as_the_plain_texts_are(spark):
     got = [r["k"] for r in df.orderBy("i").select(jaccard.text_key(F.col("text")).alias("k")).collect()]
     plain = [b" ".join((x or "").encode().lower().split()) for x in texts]
     assert all((got[i] == got[j]) == (plain[i] == plain[j]) for i in range(8) for j in range(8))
+
+
+def test_one_row_of_each_class_stays_whatever_its_id(spark, docs_of):
+    long = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    near = [x + " more" for x in long]
+    rows = [(1, long[0]), (1, long[1]), (1, long[1]), (2, near[1]), (None, near[0]), (None, long[2]), (None, near[2]), (3, near[2]), (None, long[3]), (None, near[3]), (None, near[3])]
+    got = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs_of(rows).repartition(5)).collect()]
+    again = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs_of(rows[::-1]).repartition(3)).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(got, key=key) == sorted(again, key=key)
+    assert sorted((i, x[0]) for i, x in got if i is not None) == [(1, "a"), (1, "b"), (3, "c")]
+    assert [x[0] for i, x in got if i is None] == ["d"]
