@@ -3,10 +3,13 @@ r"""HTML extraction by line-block distribution.
 The page is cut into blocks at block-level markup; each block is a line. A line's weight
 is its text length, or 0 if it is boilerplate: inside a menu, header, footer, sidebar,
 advert, notice, form or comment (by element, role, or a word of its class or id),
-mostly links, or outside the page's article where it marks one. Weights are summed over
-a sliding window of lines. Text surges where the sum passes the threshold and dives where
-it falls to 0; lines of weight above 0 from the start of a surge's stretch to its dive are
-kept. A page in which nothing surges keeps its heaviest stretch.
+or, outside an article, mostly links; text in an article weighs ``FRAMED`` times as much. Weights
+are summed over a sliding window of lines. Text surges where the sum passes the threshold and
+dives where it falls to 0 or an article starts or ends; lines of weight above 0 from the start of
+a surge's stretch to its dive are kept. Where the page's heaviest stretch is in an article, those
+outside also need a ``FRAMED``-th of its sum, and the other way round. A page in which nothing
+surges keeps its heaviest stretch. Only <main>, of which a page has one, is taken at its word: what
+stands outside it weighs nothing.
 
 Defined results: null or empty html gives the empty text and 0 characters; comments,
 scripts, styles and templates are never text, unclosed ones reach to the end of the page;
@@ -36,11 +39,14 @@ WORDS = frozenset(
     " alert popup modal overlay comment comments disqus replies reply respond discussion share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar pagination pager copyright legal skip".split()
 )
 
+#: How much more a character in an article weighs than one outside.
+FRAMED = 4
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
-def _marked(name: str, attrs: str, in_article: bool) -> bool:
+def _marked(name: str, attrs: str, in_article: int) -> bool:
     if name in BOILER or (name == "header" and not in_article):
         return True
     if not attrs or name in ("body", "html", "article", "main") and "comment" not in attrs.lower():
@@ -54,14 +60,14 @@ def _marked(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters inside links, boilerplate, inside an article) of each block that has text or is boilerplate."""
-    lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate here, article here
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters inside links, boilerplate, 1 inside an article or 2 inside main) of each block that has text or is boilerplate."""
+    lines: list[tuple[str, int, bool, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # name, boilerplate here, article here
     parts: list[str] = []
     linked = 0
     anchors = 0
-    boiler = article = False
+    boiler, article = False, 0
 
     def flush() -> None:
         nonlocal linked
@@ -99,10 +105,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                 flush() if name in BLOCKS else parts.append(" ")
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if stack[i][1] != boiler or (stack[i - 1][1:] if i else (False, False)) != (boiler, article):
+                    if stack[i][1] != boiler or (stack[i - 1][1:] if i else (False, 0)) != (boiler, article):
                         flush()
                     del stack[i:]
-                    boiler, article = stack[-1][1:] if stack else (False, False)
+                    boiler, article = stack[-1][1:] if stack else (False, 0)
                     break
             continue
         if name in RAW and not attrs.endswith("/"):
@@ -121,9 +127,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if name in SELF_CLOSING and stack and stack[-1][0] == name:
             stack.pop()
-            boiler, article = stack[-1][1:] if stack else (False, False)
+            boiler, article = stack[-1][1:] if stack else (False, 0)
         was = (boiler, article)
-        now = boiler or _marked(name, attrs, article), article or name in ("article", "main") or 'role="main"' in attrs
+        now = boiler or _marked(name, attrs, article), max(article, 2 if name == "main" or 'role="main"' in attrs else int(name == "article"))
         if now != was:
             flush()
             if now[0] and not was[0]:
@@ -141,11 +147,11 @@ def extract(page: str, window: int = 3, surge: int = 80) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    framed = any(inside and not bad and text for text, _, bad, inside in lines)
+    main = any(inside == 2 and not bad and text for text, _, bad, inside in lines)
     weights = []
     for text, linked, bad, inside in lines:
-        gone = bad or not text or framed and not inside or not framed and 2 * linked >= len(text)
-        weights.append(0 if gone else len(text))
+        gone = bad or not text or main and inside < 2 or not inside and 2 * linked >= len(text)
+        weights.append(0 if gone else len(text) * (FRAMED if inside else 1))
     stretches: list[tuple[int, int, int]] = []  # peak of the window sum, first line, last line
     i, n = 0, len(weights)
     while i < n:
@@ -154,7 +160,7 @@ def extract(page: str, window: int = 3, surge: int = 80) -> str:
             continue
         peak, first, last = 0, i, i
         total = 0
-        while i < n:  # window sums along the stretch, until one is 0
+        while i < n and (not weights[i] or bool(lines[i][3]) == bool(lines[first][3])):  # window sums along the stretch, until one is 0
             total += weights[i] - (weights[i - window] if i - window >= first else 0)
             if not total:
                 break
@@ -165,9 +171,10 @@ def extract(page: str, window: int = 3, surge: int = 80) -> str:
         stretches.append((peak, first, last))
     if not stretches:
         return ""
-    best = max(stretches)[0]
-    least = 1 if framed else min(surge, best)
-    return "\n".join(lines[k][0] for peak, first, last in stretches if peak >= least for k in range(first, last + 1) if weights[k])
+    best, at, _ = max(stretches)
+    least = min(surge, best)
+    kept = [(first, last) for peak, first, last in stretches if peak >= least and (bool(lines[first][3]) == bool(lines[at][3]) or FRAMED * peak >= best)]
+    return "\n".join(lines[k][0] for first, last in kept for k in range(first, last + 1) if weights[k])
 
 
 def extract_pages(pages: DataFrame, window: int = 3, surge: int = 80) -> DataFrame:

@@ -55,3 +55,17 @@ def test_links_and_distance_decide_without_an_article():
 def test_long_page_is_linear():
     page = "<article>" + "<p>words and <b>more" * 60_000
     assert extract(page).count("\n") == 59_999
+
+
+def test_sums_decide_beside_an_article():
+    body = "".join(f"<p>{LONG} {i}</p>" for i in range(4))
+    text = "\n".join(f"{LONG} {i}" for i in range(4))
+    # a teaser card doesn't take the place of the body
+    assert extract(f"<article><h3>Read on</h3></article><div>{body}</div>") == text
+    assert extract(f"<div>{body}</div><article><h3>Read on</h3></article>") == text
+    # a short note outside doesn't surge beside the article, as much text as the article's does
+    assert extract(f"<div>{LONG}</div><article>{body}</article>") == text
+    assert extract(f"<article>{body}</article><div>{body}</div>") == f"{text}\n{text}"
+    # in an article, too, what stands far off and doesn't surge is left out
+    gap = "<aside>a</aside>" * 4
+    assert extract(f"<article>{body}{gap}<p>tail</p></article>") == text
