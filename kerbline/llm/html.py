@@ -43,7 +43,12 @@ WORDS = frozenset(
 FRAMED = 4
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+
+
+def _attributes(attrs: str) -> list[tuple[str, str]]:
+    """Names, lowered, and values of a tag's attributes, one after another."""
+    return [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)]
 
 
 def _marked(name: str, attrs: str, in_article: int) -> bool:
@@ -51,8 +56,7 @@ def _marked(name: str, attrs: str, in_article: int) -> bool:
         return True
     if not attrs or name in ("body", "html", "article", "main") and "comment" not in attrs.lower():
         return False
-    for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+    for key, value in _attributes(attrs):
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in ROLES:
             return True
         if key in ("class", "id") and any(w.lower() in WORDS for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", value)):
@@ -129,7 +133,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             stack.pop()
             boiler, article = stack[-1][1:] if stack else (False, 0)
         was = (boiler, article)
-        now = boiler or _marked(name, attrs, article), max(article, 2 if name == "main" or 'role="main"' in attrs else int(name == "article"))
+        now = boiler or _marked(name, attrs, article), max(article, 2 if name == "main" or "main" in attrs and ("role", "main") in _attributes(attrs) else int(name == "article"))
         if now != was:
             flush()
             if now[0] and not was[0]:

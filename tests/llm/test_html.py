@@ -69,3 +69,18 @@ def test_sums_decide_beside_an_article():
     # in an article, too, what stands far off and doesn't surge is left out
     gap = "<aside>a</aside>" * 4
     assert extract(f"<article>{body}{gap}<p>tail</p></article>") == text
+
+
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'title="A hidden story"', "data-id='menu'", 'data-class="ad"', 'alt="x id=menu y"', "data-role=search", "aria-hidden=false", 'data-x="it\'s hidden"'])
+def test_only_whole_attribute_names_mark_boilerplate(attrs):
+    assert extract(f"<div {attrs}><p>{LONG}</p></div>") == LONG
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN=''", 'title="x" hidden', "id = menu", "data-a=1 class='a ad b'", 'role="search"', "aria-hidden=true"])
+def test_attributes_that_mark_boilerplate(attrs):
+    assert extract(f"<div {attrs}><p>{LONG}</p></div><p>{LONG} 2</p>") == f"{LONG} 2"
+
+
+def test_main_by_a_whole_attribute():
+    assert extract(f"<div data-role=\"main\"><p>a</p></div><p>{LONG}</p>") == f"a\n{LONG}"
+    assert extract(f"<div role='main'><p>a</p></div><p>{LONG}</p>") == "a"
