@@ -512,6 +512,22 @@ def sta2(spark, sf):
     return T.spearman(both, ("speed", "time")).where("row = 'speed' and col = 'time'").select(F.round("rho", 9).alias("rho"))
 
 
+_COUNTRY_FEATURES = ("speed", "time", "people", "urgent")
+
+
+@query("STA2M", _with(V.METRICS) + """, w AS (SELECT n_name AS country, condition, unnest(['speed', 'time', 'people', 'urgent']) AS f, unnest([speed, time, people::DOUBLE, urgent]) AS v FROM nation LEFT JOIN metrics ON n_name = country),
+  m AS (SELECT country, f, max(v) FILTER (condition = 0) AS day, max(v) FILTER (condition = 1) AS night, CASE WHEN day IS NULL THEN night WHEN night IS NULL THEN day ELSE (day + night) / 2 END AS v FROM w GROUP BY country, f),
+  long AS (SELECT a.f AS "row", b.f AS col, a.v AS x, b.v AS y FROM m a JOIN m b USING (country) WHERE a.v IS NOT NULL AND b.v IS NOT NULL),
+  r AS (SELECT "row", col, rank() OVER (PARTITION BY "row", col ORDER BY x) + (count(*) OVER (PARTITION BY "row", col, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY "row", col ORDER BY y) + (count(*) OVER (PARTITION BY "row", col, y) - 1) / 2.0::DOUBLE AS ry FROM long)
+SELECT "row", col, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 9) AS rho FROM r GROUP BY ALL""")
+def sta2m(spark, sf):
+    """The whole matrix that STA2 takes one cell of."""
+    m = V.metrics(spark, sf).groupBy("country").pivot("condition", [0, 1]).agg(*[F.first(f).alias(f) for f in _COUNTRY_FEATURES])
+    mean = [S.row_mean(f"0_{f}", f"1_{f}").alias(f) for f in _COUNTRY_FEATURES]
+    both = V.table(spark, sf, "nation").select(F.col("n_name").alias("country")).join(m, "country", "left").select("country", *mean)
+    return T.spearman(both, _COUNTRY_FEATURES).withColumn("rho", F.round("rho", 9))
+
+
 @query("STA3", _with(V.METRICS) + "SELECT country, coalesce(max(speed) FILTER (condition = 0), 0) AS speed_0, max(time) FILTER (condition = 0) AS time_0, coalesce(max(speed) FILTER (condition = 1), 0) AS speed_1, max(time) FILTER (condition = 1) AS time_1 FROM metrics GROUP BY country")
 def sta3(spark, sf):
     return T.wide_features(V.metrics(spark, sf), ["speed", "time"], zero=["speed"])
@@ -888,6 +904,16 @@ def plt7(spark, sf):
     return rho.where("row = 'gini' and col = 'traffic_index'").select("continent", F.round("rho", 9).alias("rho"))
 
 
+@query("PLT7M", _with(V.MAPPING) + """, f AS (SELECT row_idx, continent, unnest(['traffic_mortality', 'gini', 'literacy_rate', 'traffic_index', 'constant']) AS f, unnest([traffic_mortality, gini, literacy_rate, traffic_index, 1.0::DOUBLE]) AS v FROM mapping),
+  long AS (SELECT a.continent, a.f AS "row", b.f AS col, a.v AS x, b.v AS y FROM f a JOIN f b USING (row_idx) WHERE a.v IS NOT NULL AND b.v IS NOT NULL),
+  r AS (SELECT continent, "row", col, rank() OVER (PARTITION BY continent, "row", col ORDER BY x) + (count(*) OVER (PARTITION BY continent, "row", col, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY continent, "row", col ORDER BY y) + (count(*) OVER (PARTITION BY continent, "row", col, y) - 1) / 2.0::DOUBLE AS ry FROM long)
+SELECT continent, "row", col, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 9) AS rho FROM r GROUP BY ALL""")
+def plt7m(spark, sf):
+    """The whole matrix of each continent, of which PLT7 takes one cell."""
+    rho = plots.correlations(V.mapping(spark, sf).withColumn("constant", F.lit(1.0)), _FEATURES, ["continent"])
+    return rho.withColumn("rho", F.round("rho", 9))
+
+
 @query("PLT8", _with(V.MAPPING) + """, p AS (SELECT id, lon, lat FROM mapping WHERE lat IS NOT NULL), d AS (SELECT a.id, a.lon, a.lat, min(sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat))) AS d FROM p a JOIN p b ON a.id <> b.id GROUP BY ALL)
 SELECT id, lon, lat, d > (SELECT avg(d) FROM d) AS labelled FROM d""")
 def plt8(spark, sf):
