@@ -2,7 +2,7 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A text is
 lowered and cut into units: runs of letters, marked at their start as the vocabulary
-marks words, and cut every ``UNIT`` letters. A unit's likelihood is summed over all its
+marks words, of any length. A unit's likelihood is summed over all its
 segmentations into pieces by the forward algorithm; a text's is the product over its
 units. The piece probabilities are fitted by expectation maximisation over the
 distinct units of each language, starting from equal ones; a character that is no piece
@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from kerbline.llm.common import id_remainder, stage
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Units up to this length are summed as they are; in longer ones the sums are scaled, so that none vanishes.
 UNIT = 24
 CACHE_RUNS = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -54,7 +56,7 @@ def runs(text: str | None) -> list[str]:
 
 
 def units(run: str) -> list[str]:
-    """A run as the model reads it: marked at its start, cut every ``UNIT`` letters."""
+    """A marked run cut every ``UNIT`` letters. Scores don't use the cut, they sum over the whole run."""
     run = _MARK + run
     return [run] if len(run) <= UNIT else [run[i : i + UNIT] for i in range(0, len(run), UNIT)]
 
@@ -113,9 +115,26 @@ def _lattice(pieces: Pieces, texts: list[str]) -> Iterator[tuple[int, int, np.nd
             hit = np.flatnonzero((ids >= 0) & (node > 0))
             if hit.size:
                 found[j + 1].append((i, rows[hit], ids[hit]))
-    for j in range(1, size + 1):
-        for i, at, ids in found[j]:
-            yield i, j, at, ids
+        for start, at, ids in found[i + 1]:  # no later start ends here
+            yield start, i + 1, at, ids
+        found[i + 1] = []
+
+
+def _forward_logs(pieces: Pieces, probs: np.ndarray, arcs: Iterable[tuple[int, int, np.ndarray, np.ndarray]], size: int, n: int) -> np.ndarray:
+    """Logs of the forward sums at each place, (size + 1, n, languages), of arcs by end."""
+    alpha, logs = np.zeros((2, size + 1, n, probs.shape[1]))
+    alpha[0] = 1
+    scale = np.zeros(alpha.shape[1:])
+    for j, into in groupby(arcs, key=lambda a: a[1]):
+        for i, _, rows, ids in into:
+            alpha[j, rows] += alpha[i, rows] * probs[ids]
+        logs[j] = np.log(alpha[j]) + scale
+        low = alpha[j] < 1e-50
+        if low.any():  # only the places that a piece can still start from need the new scale
+            lift = np.where(low, 1e50, 1.0)
+            alpha[max(0, j - pieces.longest + 1) : j + 1] *= lift
+            scale -= np.log(lift)
+    return logs
 
 
 def by_length(texts: list[str], most: int = 20_000) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -123,8 +142,9 @@ def by_length(texts: list[str], most: int = 20_000) -> Iterator[tuple[np.ndarray
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     for size in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == size)
-        for k in range(0, at.size, most):
-            part = at[k : k + most]
+        step = most if size <= UNIT else max(1, most * UNIT // size)
+        for k in range(0, at.size, step):
+            part = at[k : k + step]
             yield part, [texts[i] for i in part.tolist()]
 
 
@@ -132,6 +152,9 @@ def likelihoods(pieces: Pieces, probs: np.ndarray, texts: list[str]) -> np.ndarr
     """Log likelihood of each unit (rows) under each language (columns)."""
     out = np.zeros((len(texts), probs.shape[1]))
     for at, group in by_length(texts):
+        if len(group[0]) > UNIT:
+            out[at] = _forward_logs(pieces, probs, _lattice(pieces, group), len(group[0]), len(group))[-1]
+            continue
         alpha = np.zeros((len(group[0]) + 1, len(group), probs.shape[1]))
         alpha[0] = 1
         for i, j, rows, ids in _lattice(pieces, group):
@@ -144,10 +167,8 @@ def likelihoods(pieces: Pieces, probs: np.ndarray, texts: list[str]) -> np.ndarr
 
 
 def run_likelihoods(pieces: Pieces, probs: np.ndarray, found: list[str]) -> np.ndarray:
-    """Log likelihood of each letter run: the sum over its units."""
-    parts = [units(r) for r in found]
-    first = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
-    return np.add.reduceat(likelihoods(pieces, probs, [u for p in parts for u in p]), first, axis=0)
+    """Log likelihood of each letter run: the sum over all its segmentations."""
+    return likelihoods(pieces, probs, [_MARK + r for r in found])
 
 
 def expected_counts(pieces: Pieces, probs: np.ndarray, texts: list[str], weights: np.ndarray) -> np.ndarray:
@@ -156,6 +177,14 @@ def expected_counts(pieces: Pieces, probs: np.ndarray, texts: list[str], weights
     for at, group in by_length(texts):
         size = len(group[0])
         arcs = list(_lattice(pieces, group))
+        if size > UNIT:
+            fore = _forward_logs(pieces, probs[:, None], arcs, size, len(group))[:, :, 0]
+            mirrored = sorted(((size - j, size - i, rows, ids) for i, j, rows, ids in arcs), key=lambda a: a[1])
+            back = _forward_logs(pieces, probs[:, None], mirrored, size, len(group))[:, :, 0]
+            for i, j, rows, ids in arcs:
+                share = np.exp(fore[i, rows] + np.log(probs[ids]) + back[size - j, rows] - fore[size, rows])
+                total += np.bincount(ids, share * weights[at][rows], probs.size)
+            continue
         alpha, beta = np.zeros((size + 1, len(group))), np.zeros((size + 1, len(group)))
         alpha[0] = beta[size] = 1
         for i, j, rows, ids in arcs:
@@ -225,11 +254,10 @@ def _expect(shared):
         total = np.zeros(probs.T.shape)
         for b in batches:
             of = np.array([at[x] for x in b.column("lang").to_pylist()], np.int64)
-            parts, n = [units(r) for r in b.column("run").to_pylist()], b.column("n").to_numpy()
+            marked, n = [_MARK + r for r in b.column("run").to_pylist()], b.column("n").to_numpy().astype(float)
             for k in np.unique(of).tolist():
                 rows = np.flatnonzero(of == k).tolist()
-                weights = np.repeat(n[rows], [len(parts[i]) for i in rows]).astype(float)
-                total[k] += expected_counts(pieces, np.ascontiguousarray(probs[:, k]), [u for i in rows for u in parts[i]], weights)
+                total[k] += expected_counts(pieces, np.ascontiguousarray(probs[:, k]), [marked[i] for i in rows], n[rows])
         lang, piece = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[lang, piece])], names=["lang", "piece", "n"])
 
