@@ -71,6 +71,12 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(blank, " +"), "")).cast("long")
 
 
+def row_hash(df: DataFrame, seed: int) -> Column:
+    """A 64-bit hash of all columns, nulls told apart; maps, which Spark doesn't hash, by their JSON."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.xxhash64(F.lit(seed), *plain, *[F.col(f"`{f.name}`").isNull() for f in df.schema.fields])
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or a variant that no column of ``df`` has in any case."""
     taken = {c.lower() for c in df.columns}

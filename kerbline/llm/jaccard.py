@@ -1,36 +1,23 @@
-"""Classes of texts linked by an exact Jaccard similarity of their word shingles.
-
-No fingerprint distance covers a similarity, so candidates come from prefix filtering, which
-loses no pair: shingles are put in one order for all texts, rare ones first, and two sets of
-similarity s or more share one of their first n - ceil(s * n) + 1. The order only decides
-how many candidates there are; it takes its frequencies from a bounded sample. A candidate
-must also be able to reach s by sizes and by the places of the shared shingle. What is
-left is verified on the shingles themselves.
-
-Dense groups would pair up by the square. So texts that share a shingle are first compared
-with the least of them; what that links into one class is not paired again. No link between
-classes is lost.
+"""Exact Jaccard similarity of word shingles, for candidate pairs of texts.
 
 Texts are equal, and have one key (64 bits), if they are after lowering ASCII letters and
 taking white space as one blank. Of fewer words than a shingle the whole text is one; a text
-without words is only similar to others without.
+without words is only similar to others without. Shingles are compared by their XXH64 values, each
+text's computed once; the comparison itself is an array function.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import release, span_keys, stage
-from kerbline.llm.components import connected_components
+from kerbline.llm.common import stage
 
-#: Rows whose shingles are counted, and the shingles that get a frequency at most.
-SAMPLE, COMMON = 20_000, 200_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -39,130 +26,35 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(plain, " +", " ")))
 
 
-def _joined(text: str | None, words: int) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The plain text, and where its shingles start and end."""
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The different values, sorted, of the text's shingles."""
     tokens = (text or "").encode().lower().split()
-    joined = b" ".join(tokens)
-    if len(tokens) <= words:
-        spans = [0] * bool(tokens), [len(joined)] * bool(tokens)
-        return joined, np.array(spans[0], np.int64), np.array(spans[1], np.int64)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(joined)]])
-    return joined, starts[: len(starts) - words + 1], ends[words - 1 :]
-
-
-def shingles(text: str | None, words: int) -> frozenset[bytes]:
-    joined, starts, ends = _joined(text, words)
-    return frozenset(joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
-
-
-def similarity(a: frozenset[bytes], b: frozenset[bytes]) -> float:
-    shared = len(a & b)
-    return shared / (len(a) + len(b) - shared) if a or b else 1.0
-
-
-def shingle_keys(text: str | None, words: int) -> np.ndarray:
-    """Sorted 64-bit keys of the different shingles."""
-    joined, starts, ends = _joined(text, words)
-    return np.unique(span_keys(np.frombuffer(joined, np.uint8), starts, ends).view(np.int64))
-
+    digest = xxhash.xxh64_digest
+    shingles = [b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))] if tokens else []
+    return np.unique(np.frombuffer(b"".join(map(digest, shingles)), np.int64))
 
-def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of shingles that a sample has more than twice, sorted, and how often."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [shingle_keys(x, words) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))], names=["shingle"])
-
-    every = max(1, docs.count() // SAMPLE)
-    rows = docs.where(F.pmod(F.col("_key"), F.lit(every)) == 0).select("text")
-    counts = rows.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
-    got = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
-    keys, n = got["shingle"].to_numpy(), got["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
-
-
-def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """(shingle, key, size, place) of the first shingles of each different text."""
-    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = shared.value
-        seen: set[int] = set()
-        for b in batches:
-            parts: list[tuple[np.ndarray, int, int]] = []
-            for key, text in zip(b.column("_key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if key in seen:
-                    continue
-                seen.add(key)
-                keys = shingle_keys(text, words)
-                if keys.size:
-                    n = np.zeros(keys.size, np.int64)
-                    if known.size:
-                        at = np.minimum(np.searchsorted(known, keys), known.size - 1)
-                        n = np.where(known[at] == keys, often[at], 0)
-                    take = keys.size - math.ceil(least * keys.size - 1e-9) + 1
-                    parts.append((keys[np.lexsort((keys, n))[:take]], key, keys.size))
-            if len(seen) > 200_000:
-                seen.clear()
-            if parts:
-                sizes = [p[0].size for p in parts]
-                columns = [np.concatenate([p[0] for p in parts]), np.repeat(np.array([p[1] for p in parts], np.int64), sizes), np.repeat(np.array([p[2] for p in parts], np.int32), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "key", "size", "place"])
-
-    return docs.select("_key", "text").mapInArrow(run, "shingle long, key long, size int, place int")
-
-
-def _reach(least: float) -> Column:
-    """Whether texts a and b can have ``least`` if the shingle is the first they share."""
-    rest = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    return rest >= (F.col("size_a") + F.col("size_b")) * (least / (1 + least)) - 1e-6
-
-
-def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts have ``least`` or more."""
+def shingle_sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(key, shingles) of the texts that stand in ``pairs`` (a, b); docs: ``_key``, ``text``, of equal keys one is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            last, own = None, frozenset()
-            keep = []
-            for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True):
-                if x != last:
-                    last, own = x, shingles(x, words)
-                keep.append(similarity(own, shingles(y, words)) >= least)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def similar_classes(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """docs: ``_key`` (of ``text_key``), ``text``. Returns (node, root) of every key that is not the least of its class."""
-    spark = docs.sparkSession
-    first = stage(prefixes(docs, words, least), "jaccard-prefixes")
-    several = first.groupBy("shingle").agg(F.min(F.struct("key", "size", "place")).alias("to"), F.max("key").alias("top")).where("to.key <> top").select("shingle", "to")
-    first = stage(first.join(several, "shingle").distinct(), "jaccard-shared")
-    release(spark)
-    wanted = first.select(F.col("key").alias("_key")).distinct()
-    texts = stage(docs.select("_key", "text").join(wanted, "_key", "left_semi").groupBy(F.col("_key").alias("key")).agg(F.min("text").alias("text")), "jaccard-texts")
-
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("size", "place")]
-    star = first.select(F.col("key").alias("a"), *side("a"), F.col("to.key").alias("b"), F.col("to.size").alias("size_b"), F.col("to.place").alias("place_b"))
-    star = stage(star.where((F.col("a") != F.col("b")) & _reach(least)).select("a", "b").distinct(), "jaccard-star")
-    links = stage(verified(star, texts, words, least), "jaccard-links")
-    labels = connected_components(links)
-
-    rooted = first.drop("to").join(labels, F.col("key") == F.col("node"), "left").select("shingle", "key", "size", "place", F.coalesce("root", "key").alias("root"))
-    rooted = stage(rooted, "jaccard-rooted")
-    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    rooted = stage(rooted.join(mixed, "shingle", "left_semi"), "jaccard-mixed")
-    one = rooted.select("shingle", F.col("key").alias("a"), *side("a"), F.col("root").alias("root_a"))
-    two = rooted.select(F.col("shingle").alias("_shingle"), F.col("key").alias("b"), *side("b"), F.col("root").alias("root_b"))
-    pairs = one.join(two, (F.col("shingle") == F.col("_shingle")) & (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _reach(least))
-    pairs = stage(pairs.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "jaccard-pairs")
-    release(spark)
-    more = verified(pairs, texts, words, least)
-    return connected_components(more.unionByName(links))
+            sets = [shingle_set(x, words) for x in b.column("text").to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([x.size for x in sets])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([b.column("key"), lists], names=["key", "shingles"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_wanted")).distinct()
+    texts = docs.join(wanted, F.col("_key") == F.col("_wanted"), "left_semi").groupBy(F.col("_key").alias("key")).agg(F.min("text").alias("text"))
+    return stage(texts.mapInArrow(run, "key long, shingles array<long>"), "jaccard-sets")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts have a similarity of ``least`` or more."""
+    one = sets.select(F.col("key").alias("_a"), F.col("shingles").alias("s_a"))
+    two = sets.select(F.col("key").alias("_b"), F.col("shingles").alias("s_b"))
+    sizes = F.size("s_a") + F.size("s_b")
+    fits = F.least(F.size("s_a"), F.size("s_b")) >= F.lit(least) * F.greatest(F.size("s_a"), F.size("s_b"))
+    both = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")).where(fits)
+    shared = both.select("a", "b", sizes.alias("n"), F.size(F.array_intersect("s_a", "s_b")).alias("shared"))
+    return shared.where((F.col("n") > 0) & (F.col("shared") >= F.lit(least) * (F.col("n") - F.col("shared")))).select("a", "b")

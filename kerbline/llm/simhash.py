@@ -9,24 +9,34 @@ dealt into parts, correlated bits together, and each part i gets a threshold t_i
 own (-1: not used) with sum(t_i) = distance - parts + 1; two fingerprints within
 ``distance`` then differ in at most t_i bits of some part. Number of parts and
 thresholds come from a dynamic program over estimated candidate counts, from the
-frequencies of the bits over all fingerprints. Fingerprints probe all values within t_i of
-their own part and meet the others by an equi-join whose condition verifies the whole
-distance.
-
-Dense groups would pair up by the square. So fingerprints that agree outside one of the
-runs of ``distance`` bits are first linked to the least of them (no more bits can
-differ), by a grouped minimum, and distances above 4 are reached in steps. The denser a
-group, the more of it this joins; what is in one class is not paired again, as the
-probing join only yields pairs of different classes. No link between classes is lost.
+frequencies of the bits over all fingerprints. Of two fingerprints whose parts differ in
+the bits D, the one with a 0 in D's lowest bit probes the other's part, so each pair is met
+once a part; an equi-join's condition verifies the whole distance.
+
+Dense groups would pair up by the square. So fingerprints are first linked to the least one
+of some group (those that agree outside a run of bits, or in a part), by a grouped minimum;
+what is in one class is not paired again, as the probing join only yields pairs of
+different classes. No link between classes is lost.
+
+``drop_near_duplicates`` decides by Jaccard similarity of the shingles. One fingerprint's
+distance tells little about that, so a text has ``prints`` independent ones (the XXH64 values
+mixed anew for each), a pair within ``distance`` in any of them is a candidate, and candidates are
+verified on their shingles. A pair of similarity s is met with the chance 1 - (1 - p)^prints, p the
+chance that a binomial of 64 and acos(2s / (1 + s)) / pi is at most ``distance``: 0.96 for the defaults
+at the threshold of 0.8 itself, 0.997 at 0.85 (``chance_met``). Pairs below the threshold are never linked.
 
 Defined results: null or empty text has fingerprint 0 and links like any other; a null
 doc_id has a class, of which it is never the smallest id unless all are null; repeated
-rows give repeated results; an empty table gives no rows. Extra columns are ignored.
+rows give repeated results; texts are taken whole, of any length that fits in a row; an empty
+table gives no rows. Extra columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -35,27 +45,43 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import free_name, stage
+from kerbline.llm.common import free_name, mix64, release, row_hash, stage
 from kerbline.llm.components import connected_components
-from kerbline.llm.jaccard import similar_classes, text_key
+from kerbline.llm.jaccard import shingle_sets, similar, text_key
 
+_LANES = np.uint64(0x0101010101010101)
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of a whole text."""
+
+def shingle_hashes(text: str | None, words: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; of fewer words than one the whole sequence."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts = [0, *(gaps + 1).tolist()]
     ends = [*gaps.tolist(), len(joined)]
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :], strict=False)])
-    n = len(hashes) // 8
-    set_in = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * set_in > n).tobytes(), "big")
+    return np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :], strict=False)]), ">u8").astype(np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits set in over half of each row's values; 0 if a row is empty. Eight bits a pass are counted in the bytes of one word."""
+    if not hashes.shape[1]:
+        return np.zeros(hashes.shape[0], np.uint64)
+    votes = np.zeros((hashes.shape[0], 8, 8), np.int64)
+    starts = np.arange(0, hashes.shape[1], 255)
+    for k in range(8):
+        lanes = np.add.reduceat((hashes >> np.uint64(k)) & _LANES, starts, axis=1)
+        votes[:, :, k] = lanes.astype("<u8").view(np.uint8).reshape(hashes.shape[0], -1, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * votes > hashes.shape[1], axis=2, bitorder="little").reshape(-1, 8).view("<u8")[:, 0]
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of a whole text."""
+    return int(majority(shingle_hashes(text, words, seed)[None])[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
@@ -70,26 +96,74 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
+def several_fingerprints(rows: DataFrame, words: int, prints: int, seed: int = 42, remembered: int = 50_000) -> DataFrame:
+    """The columns of ``rows`` but ``text``, and ``fps``, as many independent fingerprints, ``size``, the number of
+    different shingles, and ``odd``, for each of 256 ranges of their values whether it has an odd number of them.
+    rows: ``_key`` of the text, ``text``."""
+    names = [c for c in rows.columns if c != "text"]
+    salts = mix64(np.arange(1, prints, dtype=np.uint64))[:, None]  # the first fingerprint is the plain one
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[np.ndarray, int, np.ndarray]] = {}
+        for b in batches:
+            out = []
+            for key, text in zip(b.column("_key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if key not in known:
+                    if len(known) >= remembered:
+                        known.clear()
+                    hashes = shingle_hashes(text, words, seed)
+                    fps = majority(np.concatenate([hashes[None], mix64(hashes ^ salts)]))
+                    different = np.unique(hashes)
+                    odd = np.bincount((different >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                    known[key] = fps, different.size, np.packbits(odd.astype(np.uint8)).view(np.int64)
+                out.append(known[key])
+            fps, odd = (_lists([x[i].view(np.int64) for x in out], n) for i, n in ((0, prints), (2, 4)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), fps, pa.array([x[1] for x in out], pa.int32()), odd], names=[*names, "fps", "size", "odd"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", fps array<long>, size int, odd array<long>")
+
+
+def _lists(rows: list[np.ndarray], n: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * n), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
+
+def may_reach(least: float) -> Column:
+    """Whether texts a and b can have this similarity: sets that do differ in few shingles, and so in few ranges' parities."""
+    apart = sum((F.bit_count(F.element_at("odd_a", k).bitwiseXOR(F.element_at("odd_b", k))) for k in range(1, 5)), F.lit(0))
+    sizes = F.least("size_a", "size_b") >= F.lit(least) * F.greatest("size_a", "size_b")
+    return sizes & (apart <= (F.col("size_a") + F.col("size_b")) * ((1 - least) / (1 + least)) + 1e-6)
+
+
+def chance_met(similarity: float, distance: int, prints: int) -> float:
+    """The chance that a pair of this Jaccard similarity is within ``distance`` in one of the fingerprints at least."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    near = sum(_choose(64, k) * p**k * (1 - p) ** (64 - k) for k in range(distance + 1))
+    return 1 - (1 - near) ** prints
+
+
 # ---- parts and thresholds ----------------------------------------------------
 
 
-def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of distinct fingerprints and how often each pair of bits is set together (64 x 64)."""
+def bit_statistics(fps: DataFrame, prints: int = 1) -> tuple[int, list[np.ndarray]]:
+    """Number of rows, and for each of the fingerprints in ``fps`` how often each pair of bits is set together (64 x 64)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((64, 64))
+        total = np.zeros((prints, 64, 64))
         for b in batches:
-            x = np.ascontiguousarray(b.column("fp").to_numpy(zero_copy_only=False))
-            bits = np.unpackbits(x.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)[:, ::-1].astype(np.float32)
-            total += bits.T @ bits
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), *(pa.array(total[:, j]) for j in range(64))], names=["i", *(f"c{j}" for j in range(64))])
-
-    sums = fps.select("fp").mapInArrow(run, "i int, " + ", ".join(f"c{j} double" for j in range(64)))
-    rows = sums.groupBy("i").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(64)]).collect()  # 64 rows whatever the input
-    together = np.zeros((64, 64))
+            flat = b.column("fps").flatten().to_numpy(zero_copy_only=False).reshape(-1, prints)
+            for k in range(prints):
+                bits = np.unpackbits(np.ascontiguousarray(flat[:, k]).astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)[:, ::-1].astype(np.float32)
+                total[k] += bits.T @ bits
+        at = np.arange(prints * 64, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[:, :, j].reshape(-1)) for j in range(64))], names=["i", *(f"c{j}" for j in range(64))])
+
+    sums = fps.select("fps").mapInArrow(run, "i int, " + ", ".join(f"c{j} double" for j in range(64)))
+    rows = sums.groupBy("i").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(64)]).collect()  # 64 rows for each fingerprint whatever the input
+    together = np.zeros((prints * 64, 64))
     for r in rows:
         together[r["i"]] = r[1:]
-    return fps.count(), together
+    return fps.count(), list(together.reshape(prints, 64, 64))
 
 
 def deal_bits(n: int, together: np.ndarray, parts: int) -> list[list[int]]:
@@ -165,25 +239,62 @@ def sure_links(fps: DataFrame, distance: int) -> DataFrame:
     return keys.join(stage(least, "simhash-runs"), (F.col("run") == F.col("_run")) & (F.col("key") == F.col("_key"))).where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
-def probe_links(fps: DataFrame, parts: list[tuple[list[int], int]], distance: int) -> DataFrame:
-    """(a, b) of every two fingerprints of different classes within ``distance``; fps: fp, root."""
+class Parts:
+    """The parts of the fingerprints; the expressions that key and probe them. Other columns named in ``more`` travel along."""
+
+    def __init__(self, plans: list[list[tuple[list[int], int]]], more: tuple[str, ...] = ()) -> None:
+        self.parts = [(which, bits, t) for which, parts in enumerate(plans) for bits, t in parts]
+        self.more = more
+
+    def of(self, which: int) -> Parts:
+        """The parts of one of the fingerprints alone."""
+        out = Parts([], self.more)
+        out.parts = [p for p in self.parts if p[0] == which]
+        return out
+
+    def index(self, fps: DataFrame) -> DataFrame:
+        """k (key of a part), b, root_b, fp_b... of every part; fps: id, root, fps, and those of ``more``."""
+        fp = lambda w: F.element_at("fps", w + 1)
+        own = F.array(*[F.struct(F.xxhash64(F.lit(w), F.lit(bits[0]), fp(w).bitwiseAND(F.lit(_mask(bits)))).alias("k"), fp(w).alias("fp")) for w, bits, _ in self.parts])
+        x = fps.select("id", "root", *self.more, F.explode(own).alias("x"))
+        return x.select("x.k", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("x.fp").alias("fp_b"), *[F.col(c).alias(f"{c}_b") for c in self.more])
+
+    def probes(self, fps: DataFrame) -> DataFrame:
+        """k, a, root_a, fp_a..., part, flipped: the keys within each part's threshold that a row has to look up."""
+        flips = [f"named_struct('part', {k}, 'which', {w}, 'first', {bits[0]}, 'mask', {_mask(bits)}L, 'flip', {_mask(c)}L, 'low', {_mask(c[:1])}L)" for k, (w, bits, t) in enumerate(self.parts) for size in range(t + 1) for c in combinations(bits, size)]
+        x = fps.select("id", "root", "fps", *self.more, F.explode(F.expr(f"array({', '.join(flips)})")).alias("x")).withColumn("fp", F.element_at("fps", F.col("x.which") + 1))
+        x = x.where(F.col("fp").bitwiseAND(F.col("x.low")) == 0)
+        key = F.xxhash64("x.which", "x.first", F.col("fp").bitwiseAND(F.col("x.mask")).bitwiseXOR(F.col("x.flip")))
+        return x.select(key.alias("k"), *[F.col(c).alias(f"{'a' if c == 'id' else c + '_a'}") for c in ("id", "root", "fp", *self.more)], "x.part", (F.col("x.flip") != 0).alias("flipped"))
+
+    def met_before(self) -> Column:
+        """Whether an earlier part of the same fingerprint already brings a and b together."""
+        apart = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+        met = F.lit(False)
+        for k, (w, bits, t) in enumerate(self.parts):
+            later = [i for i, p in enumerate(self.parts) if i > k and p[0] == w]
+            if later:
+                met = met | (F.col("part").between(later[0], later[-1]) & (F.bit_count(apart.bitwiseAND(F.lit(_mask(bits)))) <= t))
+        return met
 
-    def part_key(k: int, bits: list[int]) -> Column:
-        return F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("key"))
 
-    index = fps.select("fp", "root", F.explode(F.array(*[part_key(k, bits) for k, (bits, _) in enumerate(parts)])).alias("k"))
-    index = index.select(F.col("fp").alias("b"), F.col("root").alias("root_b"), F.col("k.part").alias("part_b"), F.col("k.key").alias("key_b"))
-    probes = []
-    for k, (bits, t) in enumerate(parts):
-        flips = F.array(*[F.lit(_mask(c)) for size in range(t + 1) for c in combinations(bits, size)])
-        own = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
-        probes.append(fps.select(F.col("fp").alias("a"), "root", F.explode(flips).alias("flip"), own.alias("own")).select("a", "root", F.lit(k).alias("part"), F.col("own").bitwiseXOR(F.col("flip")).alias("key")))
-    probe = probes[0]
-    for more in probes[1:]:
-        probe = probe.unionByName(more)
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    on = (F.col("part") == F.col("part_b")) & (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & near
-    return probe.join(index, on).select("a", "b")
+def _near(distance: int) -> Column:
+    return F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= distance
+
+
+def probe_links(fps: DataFrame, parts: Parts, distance: int, also: Column | None = None) -> DataFrame:
+    """(a, b) of rows of different classes with a fingerprint within ``distance``, once for each; fps: id, root, fps."""
+    index = parts.index(fps).withColumnRenamed("k", "key")
+    on = (F.col("k") == F.col("key")) & (F.col("flipped") | (F.col("a") < F.col("b"))) & (F.col("root_a") != F.col("root_b")) & _near(distance) & ~parts.met_before()
+    return parts.probes(fps).join(index, on if also is None else on & also).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def star_links(fps: DataFrame, parts: Parts, distance: int, also: Column) -> DataFrame:
+    """(a, b): each row and the least that agrees with it in a part, if within ``distance``: as many as rows at most, a part."""
+    index = parts.index(fps).drop("root_b")
+    least = index.groupBy(F.col("k").alias("key")).agg(F.min(F.struct(*index.columns[1:])).alias("to"), F.max("b").alias("top")).where("to.b <> top")
+    least = least.select("key", *[F.col(f"to.{c}").alias(f"{c[:-2]}_a" if c != "b" else "a") for c in index.columns[1:]])
+    return index.join(least, (F.col("k") == F.col("key")) & (F.col("a") < F.col("b")) & _near(distance) & also).select(F.col("b").alias("a"), F.col("a").alias("b"))
 
 
 def classes(fps: DataFrame, distance: int = 4, stride: int = 2) -> DataFrame:
@@ -192,20 +303,49 @@ def classes(fps: DataFrame, distance: int = 4, stride: int = 2) -> DataFrame:
     Larger distances are reached in steps from 4: what a step links, the next doesn't pair again.
     """
     fps = stage(fps.select("fp"), "simhash-fps")
-    n, together = bit_statistics(fps)
+    listed = fps.select(F.col("fp").alias("id"), F.array("fp").alias("fps"))
+    n, (together,) = bit_statistics(listed)
     radii = [*range(min(4, distance), distance, stride), distance]
     labels = connected_components(sure_links(fps, radii[0])) if radii[0] else None
     for radius in radii if n else ():
-        rooted = fps.withColumn("root", F.col("fp")) if labels is None else _rooted(fps, labels)
-        links = probe_links(rooted, plan(n, together, radius), radius)
+        rooted = _rooted(listed, labels)
+        links = probe_links(rooted, Parts([plan(n, together, radius)]), radius)
         if labels is not None:
             links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
         labels = connected_components(links)
-    return fps.withColumn("root", F.col("fp")) if labels is None else _rooted(fps, labels)
+    return _rooted(listed, labels).select(F.col("id").alias("fp"), "root")
 
 
-def _rooted(fps: DataFrame, labels: DataFrame) -> DataFrame:
-    return stage(fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+def _rooted(fps: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return fps.withColumn("root", F.col("id"))
+    return stage(fps.join(labels, F.col("id") == F.col("node"), "left").select(*fps.columns, F.coalesce("root", "id").alias("root")), "simhash-rooted")
+
+
+def similar_classes(texts: DataFrame, docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 9, prints: int = 5) -> DataFrame:
+    """(node, root) of every text that is not the least of its class; texts: different ``id``, ``fps``, ``size``, ``odd``; docs: ``_key``, ``text``.
+
+    The fingerprints are probed one after another, so that only what one of them shuffles lies on disk at once.
+    """
+    spark = texts.sparkSession
+    n, together = bit_statistics(texts, prints)
+    links = spark.createDataFrame([], "a long, b long")
+    if not n:
+        return links.toDF("node", "root")
+    parts = Parts([plan(n, t, distance) for t in together], ("size", "odd"))
+    can = may_reach(least)
+    met = stage(star_links(_rooted(texts, None), parts, distance, can).distinct(), "near-stars")
+    labels = connected_components(stage(similar(met, shingle_sets(docs, met, words), least), "near-links"))
+    rooted = _rooted(texts, labels)
+    pairs, most = links, prints if n <= 10_000 else 1  # only the disk at once depends on it
+    for first in range(0, prints, most):
+        near = [probe_links(rooted, parts.of(k), distance, can) for k in range(first, min(prints, first + most))]
+        pairs = pairs.unionByName(stage(reduce(DataFrame.unionByName, near), "near-pairs"))
+        if most < prints:
+            release(spark)
+    pairs = stage(pairs.distinct().join(met, ["a", "b"], "left_anti"), "near-new")
+    links = similar(pairs, shingle_sets(docs, pairs, words), least)
+    return connected_components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
@@ -219,20 +359,23 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 9, prints: int = 5) -> DataFrame:
     """Of each class one row, all columns kept: that of the smallest doc_id, a null one last.
 
-    Classes are what links of an exact Jaccard similarity of ``least`` or more between the word
-    shingles reach, whatever the ids are. Of rows that share the id, the least by a hash of all columns stays.
+    Classes are what links of a Jaccard similarity of ``least`` or more between the word shingles reach, whatever the
+    ids are; candidates are those within ``distance`` in one of ``prints`` fingerprints. Of rows that
+    share the id, the least by a hash of all columns stays; of equal rows one.
     """
-    own = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
-    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("_key"), own.alias("_row"))
-    labels = similar_classes(rows, words, least)
-    named = rows.select("doc_id", "_key", "_row").join(labels, F.col("_key") == F.col("node"), "left")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "_key"))
-    keep = stage(named.groupBy(F.coalesce("root", "_key").alias("root")).agg(first.alias("x")).select("x.doc_id", "x._row", "x._key"), "near-kept")
-    mark = [free_name(docs, "_row"), free_name(docs, "_key")]
-    marked = docs.withColumn(mark[0], own).withColumn(mark[1], text_key(F.col("text")))
-    keep = keep.select(F.col("doc_id").alias("_i"), F.col("_row").alias("_r"), F.col("_key").alias("_k"))
-    same = (F.col(mark[0]) == F.col("_r")) & (F.col(mark[1]) == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_i"))
-    return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", *mark]).drop(*mark)
+    one, two = row_hash(docs, 1), row_hash(docs, 2)
+    keyed = docs.select(F.col("doc_id"), text_key(F.col("text")).alias("_key"), one.alias("_one"), two.alias("_two"), "text")
+    rows = stage(several_fingerprints(keyed, words, prints), "near-rows")
+    texts = stage(rows.groupBy(F.col("_key").alias("id")).agg(*[F.min(c).alias(c) for c in ("fps", "size", "odd")]), "near-texts")
+    labels = similar_classes(texts, keyed.select("_key", "text"), words, least, distance, prints)
+    named = rows.select("doc_id", "_key", "_one", "_two").join(labels, F.col("_key") == F.col("node"), "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_one", "_two"))
+    keep = stage(named.groupBy(F.coalesce("root", "_key").alias("root")).agg(first.alias("x")).select("x._one", "x._two"), "near-kept")
+    mark = [free_name(docs, "_mark1"), free_name(docs, "_mark2")]
+    one_, two_ = free_name(docs, "_one"), free_name(docs, "_two")
+    keep = keep.select(F.col("_one").alias(one_), F.col("_two").alias(two_))
+    marked = docs.withColumn(mark[0], one).withColumn(mark[1], two)
+    return marked.join(keep, (F.col(mark[0]) == F.col(one_)) & (F.col(mark[1]) == F.col(two_)), "left_semi").dropDuplicates(mark).drop(*mark)

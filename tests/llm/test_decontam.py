@@ -60,3 +60,16 @@ def test_odd_rows_blocks_and_short_items(spark, docs_of, odd):
     empty = docs_of(rows).where(F.lit(False))
     assert decontam.scan(empty, bench).collect() == []
     assert not any(r["contaminated"] for r in decontam.scan(docs_of(rows), bench.where(F.lit(False))).collect())
+
+
+def test_spans_do_not_depend_on_blocks(spark, docs_of):
+    """Items that overlap in a text, and one window that very many items have."""
+    rows = [(1, "a b c d"), (2, "x a b c d e y"), (3, None), (4, "the same ten words are in all items of it twice the same ten words are in all items of it")]
+    for items in ([(1, "b c"), (2, "a d")], [(1, "a b c"), (2, "c d e")], [(i, "the same ten words are in all items of it") for i in range(3000)]):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = [{r["doc_id"]: r["text"] for r in decontam.remove_spans(docs_of(rows).withColumn("_hit", F.lit(1)), bench, block_words=k).collect()} for k in ((2, 3, 100) if len(items) < 9 else (20_000, 10**6))]
+        assert all(x == got[0] for x in got)
+        text = got[0][2 if items[0][1] == "a b c" else 1]
+        assert text == {"b c": "a  d", "a b c": "x  y"}.get(items[0][1], "a b c d")
+    found = decontam.scan(docs_of(rows), bench).where("doc_id = 4").first()
+    assert found["n_items"] == 3000 and found["n_hit"] == 20

@@ -83,8 +83,35 @@ def test_one_row_of_each_class_stays_whatever_its_id(spark, docs_of):
     near = [x + " more" for x in long]
     rows = [(1, long[0]), (1, long[1]), (1, long[1]), (2, near[1]), (None, near[0]), (None, long[2]), (None, near[2]), (3, near[2]), (None, long[3]), (None, near[3]), (None, near[3])]
     got = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs_of(rows).repartition(5)).collect()]
-    again = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs_of(rows[::-1]).repartition(3)).collect()]
+    again = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs_of(rows[::-1]).withColumns({c: F.lit(1) for c in ("_one", "_id", "_key", "key", "a")}).repartition(3)).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(got, key=key) == sorted(again, key=key)
     assert sorted((i, x[0]) for i, x in got if i is not None) == [(1, "a"), (1, "b"), (3, "c")]
     assert [x[0] for i, x in got if i is None] == ["d"]
+
+
+def test_chance_met_covers_the_threshold():
+    assert simhash.chance_met(0.8, 9, 5) > 0.96 and simhash.chance_met(0.85, 9, 5) > 0.996 and simhash.chance_met(0.4, 9, 5) < 0.03
+
+
+def test_the_parity_filter_loses_no_pair(spark):
+    """Pairs that the filter rejects are below the threshold, whatever the sizes."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((6, 30, 120, 900)))]
+        texts.append(" ".join(base))
+        for share in (0.005, 0.02, 0.05):
+            texts.append(" ".join(w if rng.random() > share else f"v{rng.randrange(999)}" for w in base))
+    rows = spark.createDataFrame(list(enumerate(texts)), "_key long, text string")
+    got = simhash.several_fingerprints(rows, 5, 2)
+    side = lambda x: got.select(F.col("_key").alias(x), F.col("size").alias(f"size_{x}"), F.col("odd").alias(f"odd_{x}"))
+    pairs = side("a").join(side("b"), F.floor(F.col("a") / 4) == F.floor(F.col("b") / 4)).where("a < b").select("a", "b", simhash.may_reach(0.8).alias("can"))
+    sets = [slow_shingles(x) for x in texts]
+    seen = set()
+    for r in pairs.collect():
+        x, y = sets[r["a"]], sets[r["b"]]
+        alike = len(x & y) >= 0.8 * len(x | y)
+        assert r["can"] or not alike
+        seen.add((r["can"], alike))
+    assert {(True, True), (False, False)} <= seen

@@ -65,12 +65,21 @@ def test_positions_invert_the_schedule(spark, docs_of):
 
 
 def test_mixed_documents_and_empty_table(spark, docs_of):
-    data = rows()
-    docs = docs_of(data)
-    mixed = mixing.mix(mixing.sized(docs))
-    out = mixing.mixed_documents(docs, mixed)
-    assert out.columns == [c for c in docs.columns if c not in ("copies", "position")] + ["copies", "position"]
+    data = [*rows(), *[(None, "the same words without an id", "en", "s3")] * 200, *[(None, f"other words {i}", "en", "s3") for i in range(200)]]
+    docs = docs_of(data).withColumn("_size", F.lit(1)).withColumn("_id", F.lit(2)).withColumn("_src", F.lit(3)).withColumn("_one", F.lit(4)).withColumn("rows", F.lit(5))
+    mixed = mixing.mix(mixing.sized(docs)).collect()
+    out = mixing.mixed_documents(docs)
+    assert out.columns == [*docs.columns, "copies_", "position"]
     kept = out.collect()
     assert [r["position"] for r in kept] == sorted(r["position"] for r in kept)
-    assert len(kept) == mixed.where("copies > 0").count()
-    assert mixing.mix(mixing.sized(docs.where(F.lit(False)))).collect() == []
+    # every row's own copies, whatever ids and texts it shares
+    key = lambda r: (str(r["doc_id"]), str(r["source"]), r["copies_"] if "copies_" in r.__fields__ else r["copies"])
+    assert sorted(map(key, kept)) == sorted(key(r) for r in mixed if r["copies"])
+    size = {}
+    for r in kept:
+        size[r["source"]] = size.get(r["source"], 0) + r["copies_"] * len(r["text"].split())
+    for r in mixed:
+        assert r["size"] == 0 or abs(size[r["source"]] - r["target"]) <= 20
+    empty = docs.where(F.lit(False))
+    assert mixing.mix(mixing.sized(empty)).collect() == [] and mixing.mixed_documents(empty).collect() == []
+    assert mixing.mixed_documents(docs.drop("copies")).columns[-2:] == ["copies", "position"]
