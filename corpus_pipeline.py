@@ -37,13 +37,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs, mixing.mix(mixing.sized(docs)))
+    return mixing.mixed_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language ID", tell_language),
     ("quality classifier", keep_quality),
-    ("near-dedup by Jaccard similarity", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", decontaminate),
     ("mixing sources to target weights", mix_sources),
 ]
