@@ -2,8 +2,10 @@ r"""HTML extraction by line-block distribution.
 
 The page is cut into blocks at block-level markup; each block is a line. A line's weight
 is its text length, or 0 if it is boilerplate: inside a menu, header, footer, sidebar,
-advert, notice, form or comment (by element, role, or a word of its class or id),
-or, outside an article, mostly links; text in an article weighs ``FRAMED`` times as much. Weights
+advert, notice, form or comment (by element, role, or a name among its classes or id),
+or, outside an article, mostly links. A name marks if its last word does (``page-footer``), or its first before
+words like ``list`` (``comments-area``); an element that is marked by its name alone, but not as comments, and has more
+than half of the page's text, and an article, main or h1 if there is one, is a wrapper, not boilerplate. Text in an article weighs ``FRAMED`` times as much. Weights
 are summed over a sliding window of lines. Text surges where the sum passes the threshold and
 dives where it falls to 0 or an article starts or ends; lines of weight above 0 from the start of
 a surge's stretch to its dive are kept. Where the page's heaviest stretch is in an article, those
@@ -13,7 +15,7 @@ stands outside it weighs nothing.
 
 Defined results: null or empty html gives the empty text and 0 characters; comments,
 scripts, styles and templates are never text, unclosed ones reach to the end of the page;
-character references follow the HTML rules; other columns are dropped; repeated rows give
+character references follow the HTML rules, within one piece of text between tags; other columns are dropped; repeated rows give
 repeated results; an empty table gives no rows. One page is parsed in memory, in time
 linear in its length.
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 # HTML elements by how they are treated.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select canvas audio video noembed noframes xmp".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select canvas audio video noembed noframes xmp".split())
 BOILER = frozenset("nav footer aside form menu dialog search button fieldset".split())
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
@@ -38,12 +41,17 @@ WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices"
     " alert popup modal overlay comment comments disqus replies reply respond discussion share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar pagination pager copyright legal skip".split()
 )
+REMARKS = frozenset("comment comments disqus replies reply respond discussion".split())
+AFTER = frozenset("area bar block body box button buttons container content form group inner item items label link links list menu nav panel posts row section text thread trail widget widgets wrap wrapper".split())
+BEFORE = frozenset("has is no not with without".split())
+TITLES = frozenset("header banner masthead".split())
 
 #: How much more a character in an article weighs than one outside.
 FRAMED = 4
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 def _attributes(attrs: str) -> list[tuple[str, str]]:
@@ -51,69 +59,104 @@ def _attributes(attrs: str) -> list[tuple[str, str]]:
     return [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)]
 
 
-def _marked(name: str, attrs: str, in_article: int) -> bool:
+def _name_marks(name: str, in_article: int) -> str:
+    """The word by which a class or id marks boilerplate, or nothing."""
+    words = [w for w in _SPLIT.split(name.lower() if name.isupper() else name) if w]
+    words = [w.lower() for w in words]
+    if not words or words[0] in BEFORE:
+        return ""
+    if words[-1] in WORDS and not (in_article and words[-1] in TITLES and len(words) > 1):
+        return words[0] if words[0] in REMARKS else words[-1]
+    return words[0] if words[0] in WORDS and all(w in AFTER or w in WORDS for w in words[1:]) else ""
+
+
+#: How an element is boilerplate: not, by its name alone, or for certain.
+NOT, NAMED, SURE = 0, 1, 2
+
+
+def _marked(name: str, attrs: str, in_article: int) -> int:
     if name in BOILER or (name == "header" and not in_article):
-        return True
+        return SURE
     if not attrs or name in ("body", "html", "article", "main") and "comment" not in attrs.lower():
-        return False
+        return NOT
+    found = NOT
     for key, value in _attributes(attrs):
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and any(w.lower() in WORDS for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", value)):
-            return True
-    return False
+            return SURE
+        if key in ("class", "id"):
+            for word in filter(None, (_name_marks(x, in_article) for x in value.split())):
+                found = max(found, SURE if word in REMARKS else NAMED)
+    return found
+
+
+def _markup(page: str, start: int) -> tuple[int, re.Match | None] | None:
+    """The end of the tag, comment or declaration that starts here, and a tag's match; None if it is only a ``<``."""
+    if page.startswith("<!--", start):
+        end = page.find("-->", start + 4)
+        return (len(page) if end < 0 else end + 3), None
+    after = page[start + 1 : start + 2]
+    letter = page[start + 2 : start + 3] if after == "/" else after
+    if after not in ("!", "?", "/") and not (letter.isascii() and letter.isalpha()):
+        return None
+    close = page.find(">", start)
+    if close < 0:
+        return len(page), None  # the end of the page cuts it off
+    if not (letter.isascii() and letter.isalpha()):
+        return close + 1, None
+    m = _TAG.match(page, start + 1)
+    if m is None:  # a quote that nothing closes
+        return close + 1, _TAG.match(page[start + 1 : close].replace('"', " ").replace("'", " ") + ">")
+    return m.end(), m
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, characters inside links, boilerplate, 1 inside an article or 2 inside main) of each block that has text or is boilerplate."""
-    lines: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # name, boilerplate here, article here
+    lines: list[tuple[str, int, bool, int, int]] = []
+    around = [-1]  # of each element that its name alone marks, the one around it; number 0 is none
+    framed: Counter = Counter()  # articles, main and h1 directly in each
+    stack: list[tuple[str, bool, int, int]] = []
+    opened: Counter = Counter()
     parts: list[str] = []
-    linked = 0
-    anchors = 0
-    boiler, article = False, 0
+    linked = anchors = 0
+    state = (False, 0, 0)  # boilerplate for certain, in an article or main, number of the marked element
 
     def flush() -> None:
         nonlocal linked
-        if parts:
-            text = " ".join(_html.unescape("".join(parts)).split())
-            if text:
-                lines.append((text, linked, boiler, article))
-            parts.clear()
+        text = " ".join("".join(parts).split())
+        if text:
+            lines.append((text, linked, *state))
+        parts.clear()
         linked = 0
 
-    def add(text: str) -> None:
-        nonlocal linked
-        parts.append(text)
-        if anchors:
-            linked += len(text)
-
-    at, n = 0, len(page)
+    at, start, n = 0, -1, len(page)
     while at < n:
-        m = _TAG.search(page, at)
+        start = page.find("<", max(at, start + 1))
+        found = _markup(page, start) if start >= 0 else (n, None)
+        if found is None:
+            continue
+        text = _html.unescape(page[at : start if start >= 0 else n])
+        if text:
+            parts.append(text)
+            linked += len(text) if anchors else 0
+        at, m = found
         if m is None:
-            rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that the end of the page cuts off
-            add(rest[: cut.start()] if cut else rest)
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
             continue
         name, attrs = m[2].lower(), m[3]
         if m[1]:
             if name == "a":
                 anchors = max(0, anchors - 1)
-            if name in BLOCKS or name == "br" or name in RAW:
-                flush() if name in BLOCKS else parts.append(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if stack[i][1] != boiler or (stack[i - 1][1:] if i else (False, 0)) != (boiler, article):
-                        flush()
-                    del stack[i:]
-                    boiler, article = stack[-1][1:] if stack else (False, 0)
-                    break
+            if name in BLOCKS:
+                flush()
+            elif name == "br" or name in RAW:
+                parts.append(" ")
+            if opened[name]:
+                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
+                outer = stack[i - 1][1:] if i else (False, 0, 0)
+                if outer != state:
+                    flush()
+                opened.subtract(x[0] for x in stack[i:])
+                del stack[i:]
+                state = outer
             continue
         if name in RAW and not attrs.endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -130,20 +173,42 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             anchors += 1
             continue
         if name in SELF_CLOSING and stack and stack[-1][0] == name:
-            stack.pop()
-            boiler, article = stack[-1][1:] if stack else (False, 0)
-        was = (boiler, article)
-        now = boiler or _marked(name, attrs, article), max(article, 2 if name == "main" or "main" in attrs and ("role", "main") in _attributes(attrs) else int(name == "article"))
-        if now != was:
+            opened[stack.pop()[0]] -= 1
+            state = stack[-1][1:] if stack else (False, 0, 0)
+        sure, article, marked = state
+        mark = NOT if sure else _marked(name, attrs, article)
+        if mark == NAMED:
+            around.append(marked)
+            marked = len(around) - 1
+        now = sure or mark == SURE, max(article, 2 if name == "main" or "main" in attrs and ("role", "main") in _attributes(attrs) else int(name == "article")), marked
+        if now != state:
             flush()
-            if now[0] and not was[0]:
-                lines.append(("", 0, True, article))  # boilerplate leaves a gap even where it has no text
-        boiler, article = now
+            if mark:
+                lines.append(("", 0, now[0], article, marked))  # boilerplate leaves a gap even where it has no text
+        state = now
         stack.append((name, *now))
+        opened[name] += 1
+        if name in ("article", "main", "h1") and not state[0]:
+            framed[marked] += 1
         if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
             anchors = 0
     flush()
-    return lines
+    return _judged(lines, around, framed)
+
+
+def _judged(lines: list[tuple[str, int, bool, int, int]], around: list[int], framed: Counter) -> list[tuple[str, int, bool, int]]:
+    """Elements that a name marks are boilerplate unless they are wrappers: most of what isn't boilerplate for certain is in them."""
+    inside, frames = [0] * len(around), [framed[k] for k in range(len(around))]
+    for text, _, sure, _, marked in lines:
+        inside[marked] += 0 if sure else len(text)
+    total, any_frame = sum(inside), sum(frames)
+    for k in range(len(around) - 1, 0, -1):
+        inside[around[k]] += inside[k]
+        frames[around[k]] += frames[k]
+    bad = [False] * len(around)
+    for k in range(1, len(around)):
+        bad[k] = bad[around[k]] or 2 * inside[k] <= total or bool(any_frame) and not frames[k]
+    return [(text, linked, sure or bad[marked], article) for text, linked, sure, article, marked in lines if text or sure or bad[marked]]
 
 
 def extract(page: str, window: int = 3, surge: int = 80) -> str:

@@ -1,5 +1,6 @@
 import html as lib
 import re
+import time
 
 import pytest
 
@@ -84,3 +85,34 @@ def test_attributes_that_mark_boilerplate(attrs):
 def test_main_by_a_whole_attribute():
     assert extract(f"<div data-role=\"main\"><p>a</p></div><p>{LONG}</p>") == f"a\n{LONG}"
     assert extract(f"<div role='main'><p>a</p></div><p>{LONG}</p>") == "a"
+
+
+def test_names_on_wrappers_and_headers():
+    body = f"<p>{LONG}</p><p>{LONG} 2</p>"
+    text = f"{LONG}\n{LONG} 2"
+    for wrapper in ("content-sidebar-wrap", "with-sidebar", "page has-banner", "sidebar", "layout search"):
+        assert extract(f'<div class="{wrapper}">{body}</div>') == text
+        assert extract(f'<div class="{wrapper}"><article>{body}</article></div>') == text
+    assert extract(f'<article><div class="entry-header"><h1>Title</h1></div>{body}</article>') == f"Title\n{text}"
+    assert extract(f'<article><p>{LONG}</p><p class="legal-case">Smith v Jones</p><p>{LONG} 2</p></article>') == f"{LONG}\nSmith v Jones\n{LONG} 2"
+    for name in ("comments-area", "commentList", "page-footer", "sidebar-content", "related posts", "newsletter", "SHARE"):
+        assert extract(f"<div>{body}</div><div class='{name}'><p>{LONG} 3</p></div>") == text
+    # comments are never a wrapper, however long they are
+    assert extract(f"<div>{body}</div><div id=comments>{body * 5}</div>") == text
+
+
+def test_references_are_decoded_between_tags():
+    assert extract("<p>&<b>amp;</b> and &am<!-- -->p; but &amp;lt;</p>") == "&amp; and &amp; but &lt;".replace("&amp; and &amp;", "&amp; and &am" + "p;")
+    assert extract("<article><p>x <math><mi>y</mi></math> <object>z</object></p></article>") == "x y z"
+
+
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<p title=\"" * 100_000, "<" * 100_000, "<a '\">" * 50_000, "</p" * 100_000, "<!--" * 100_000, "<div class=menu>" * 50_000, "&" * 100_000, "<li>" * 100_000])
+def test_bad_markup_takes_linear_time(page):
+    began = time.perf_counter()
+    extract(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_window_and_surge_decide():
+    page = "<div><p>Short one here.</p><p>Another short one.</p></div><hr><nav>n</nav><nav>n</nav><nav>n</nav>" + f"<div><p>{LONG}</p></div>" + "<nav>n</nav>" * 3 + f"<article><p>{LONG} 2</p></article>"
+    assert len({extract(page, window, surge) for window, surge in ((3, 80), (9, 20), (3, 10**9))}) > 1
