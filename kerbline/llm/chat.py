@@ -6,13 +6,14 @@ told apart again. In texts and roles ``<|`` is never left standing: ``<``, k sta
 and ``|`` become ``<``, k + 1 stars and ``|``, which undoes without loss; a line end in a
 role becomes ``<|nl|>``.
 
-The loss mask lists for each run the spans, in code points of the run's string, of
-assistant texts; separators and headers are outside.
+The formatted string comes in blocks, which joined are the whole: a run of turns, or ``BLOCK_TURNS`` of them
+where it is longer, so that work stays linear in a run's length. The loss mask lists for each block
+the spans, in code points of its string, of assistant texts; separators and headers are outside.
 
 Defined results: null text and null role count as empty; turns are sorted by
 turn, role, text, nulls first, so repeated turns have a fixed order; rows of a null
-conv_id form one conversation; an empty table gives no rows. Other columns are
-ignored. One conversation is one string, so it must fit in a row.
+conv_id form one conversation; texts may be of any length; an empty table gives no rows. Other columns are
+ignored, whatever their names. One conversation is one string, so it must fit in a row.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 # The control strings of the template.
 START, END, TURN, NEWLINE = "<|im_start|>", "<|im_end|>", "<|turn|>", "<|nl|>"
 
+BLOCK_TURNS = 64
+
 
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\**)\|", r"<*$1|")
@@ -41,14 +44,23 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     empty = F.lit("")
     row = F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role"), empty).alias("role"), F.coalesce(F.col("text"), empty).alias("text"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("_t"))
-    chats = chats.withColumn("_heads", F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: (i == 1) | (F.element_at("_t", i)["role"] != F.element_at("_t", F.greatest(i - 1, F.lit(1)))["role"])))
+    changes = lambda i: F.element_at("_t", i)["role"] != F.element_at("_t", F.greatest(i - 1, F.lit(1)))["role"]
+    chats = chats.withColumn("_heads", F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: (i == 1) | (i % BLOCK_TURNS == 0) | changes(i)))
     stop = lambda i: F.coalesce(F.get("_heads", i + 1), F.size("_t") + 1)
-    runs = F.transform("_heads", lambda h, i: F.struct(F.element_at("_t", h)["role"].alias("role"), F.transform(F.slice("_t", h, stop(i) - h), lambda t: escape(t["text"])).alias("texts")))
+    runs = F.transform(
+        "_heads",
+        lambda h, i: F.struct(
+            F.element_at("_t", h)["role"].alias("role"),
+            F.transform(F.slice("_t", h, stop(i) - h), lambda t: escape(t["text"])).alias("texts"),
+            ((h == 1) | changes(h)).alias("first"),
+            ((stop(i) > F.size("_t")) | changes(F.least(stop(i), F.size("_t")))).alias("last"),
+        ),
+    )
     chats = chats.withColumn("_runs", runs)
 
     def block(run: Column) -> Column:
-        head = F.concat(F.lit(START), F.regexp_replace(escape(run["role"]), "\n", NEWLINE), F.lit("\n"))
-        text = F.concat(head, F.array_join(run["texts"], TURN), F.lit(END + "\n"))
+        head = F.when(run["first"], F.concat(F.lit(START), F.regexp_replace(escape(run["role"]), "\n", NEWLINE), F.lit("\n"))).otherwise(TURN)
+        text = F.concat(head, F.array_join(run["texts"], TURN), F.when(run["last"], END + "\n").otherwise(""))
         ends = F.aggregate(
             run["texts"],
             F.struct(F.length(head).alias("at"), F.array().cast("array<struct<start:int,chars:int>>").alias("spans")),

@@ -7,6 +7,7 @@ import time
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +122,31 @@ def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         return mix64((prefix[ends] - prefix[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, for tables keyed by it alone: eight bytes a step through a mixer; long spans by XXH64.
+
+    A span of up to eight bytes has a hash of its own among those of its length; beyond, two of k different
+    spans share one with a chance of about k^2 / 2^65 (spans made to collide aside).
+    """
+    wide = np.zeros(data.size + 8, np.uint8)
+    wide[: data.size] = data
+    words = np.ndarray((data.size + 1,), "<u8", wide, strides=(1,))
+    sizes = ends - starts
+    out = mix64(sizes.astype(np.uint64) + _BASE)
+    left = np.flatnonzero(sizes <= 64)
+    with np.errstate(over="ignore"):
+        for k in range(0, 64, 8):
+            left = left[sizes[left] > k]
+            if not left.size:
+                break
+            rest = np.minimum(sizes[left] - k, 8).astype(np.uint64)
+            part = words[starts[left] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - rest * np.uint64(8)))
+            out[left] = mix64(out[left] * _BASE + part)
+    for i in np.flatnonzero(sizes > 64).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), 42)
+    return out
+
+
 def word_spans(is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every run of True."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], is_word, [False]]).view(np.int8)))

@@ -161,8 +161,16 @@ def _stored_rows(packed: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<seq:int,digest:binary,own:boolean>>")
     packed = packed.select("media", "chunks", F.coalesce("lent", none).alias("lent"))
     empty = F.lit(None).cast("binary")
-    own = lambda c, i: F.when(F.exists("lent", lambda x: x["seq"] == i), empty).otherwise(c["bytes"])
-    kept = F.transform("chunks", lambda c, i: F.struct(c["digest"].alias("digest"), c["length"].alias("length"), own(c, i).alias("bytes")))
+    # lent places and all places, sorted together: a lent place stands right before its chunk
+    place = lambda seq, whole: F.struct(seq.cast("int").alias("seq"), F.lit(whole).alias("whole"))
+    sides = F.sort_array(F.concat(F.transform("lent", lambda x: place(x["seq"], 1)), F.transform("chunks", lambda c, i: place(i, 2))))
+    before = F.concat(F.array(place(F.lit(-1), 2)), sides)
+    marked = F.filter(F.arrays_zip(sides.alias("at"), before.alias("before")), lambda z: z["at"]["whole"] == 2)
+    gone = F.transform(marked, lambda z: z["before"]["whole"] == 1)
+    kept = F.transform(
+        F.arrays_zip(F.col("chunks"), gone.alias("gone")),
+        lambda z: F.struct(z["chunks"]["digest"].alias("digest"), z["chunks"]["length"].alias("length"), F.when(z["gone"], empty).otherwise(z["chunks"]["bytes"]).alias("bytes")),
+    )
     pack = F.struct(F.lit("pack").alias("kind"), F.col("media").alias("key"), kept.alias("chunks"), (F.size("lent") > 0).alias("shares"))
     pool = F.transform(
         F.filter("lent", lambda x: x["own"]),

@@ -17,19 +17,21 @@ the symbols not seen at all are equally likely. The score of a text is the sum o
 probabilities (``pretrained``), or of those under a model that starts empty and learns from
 the text itself (``adaptive_bits``).
 
-Scale. Documents are dealt into blocks of about ``BLOCK_BYTES``. Each block gives its distinct
-(context, symbol) keys and words once, with their training counts, as 64-bit keys: rows grow with
+Scale. Different texts, with the number of training rows that have them, are dealt into blocks of about
+``BLOCK_BYTES`` by their digest, so repeats of a row neither fill a block nor are scored twice. Each block gives its
+distinct (context, symbol) keys and words once, with their training counts, as 64-bit keys: rows grow with
 the corpus, far slower than its positions. Counts are summed by key, log probabilities are
 joined to the keys that each block needs, and a block is scored from its own keys alone.
 So no worker holds the model, and no table is broadcast. The blocks are scored in
 ``WAVES``, so that only a part of what is shuffled lies on disk at once.
 
-Words are keyed by 63-bit hashes; two of k distinct words collide with a chance of about
-k^2 / 2^64.
+Words are keyed by 63-bit hashes (``common.word_hashes``); those of up to eight bytes and equal length never
+collide but for the lost bit, others of k distinct words with a chance of about k^2 / 2^64.
 
 Defined results: null text is empty, i.e. one end token; a null doc_id hashes as the empty
 text; repeated rows count as often as they occur; without training rows all symbols are
-equally likely; an empty table gives no rows. Other columns are ignored.
+equally likely; one text, of any length that fits in a row, is scored in one piece; an empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import LOWER, NOT_SPACE, id_remainder, mix64, release, span_keys, stage, word_spans
+from kerbline.llm.common import LOWER, NOT_SPACE, id_remainder, mix64, release, stage, word_hashes, word_spans
 
 ORDER = 5
 BLOCK_BYTES = 16 << 20
@@ -88,7 +90,7 @@ def word_keys(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all words of lowered texts, the end token last in each, and how many each has."""
     flat = np.concatenate([np.append(t, np.uint8(32)) for t in texts]) if texts else np.zeros(0, np.uint8)
     starts, ends = word_spans(NOT_SPACE[flat])
-    keys = span_keys(flat, starts, ends)
+    keys = word_hashes(flat, starts, ends)
     keys |= WORD
     keys[keys == WORD] = WORD | np.uint64(1)
     stops = np.cumsum([t.size + 1 for t in texts])
@@ -146,14 +148,14 @@ def _tallied(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def _unique(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and their counts, times n (0 or 1)."""
+    """Distinct keys and their counts, times n (training rows of the texts)."""
     keys = np.sort(keys)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if keys.size else np.zeros(0, np.int64)
     return keys[first], np.diff(np.append(first, keys.size)) * n
 
 
 def _count(order: int):
-    """(block, key, n): the distinct keys of the block's rows in a task, n from its training rows."""
+    """(block, key, n): the distinct keys of the block's texts in a task, n from their training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -164,15 +166,15 @@ def _count(order: int):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k.size, block, np.int64)), pa.array(k), pa.array(n)], names=["block", "key", "n"])
 
         for b in batches:
-            blocks, learn, texts = b.column("block").to_numpy(), b.column("learn").to_numpy(zero_copy_only=False), b.column("text")
+            blocks, learn, texts = b.column("block").to_numpy(), b.column("learn").to_numpy(), b.column("text")
             for block in np.unique(blocks).tolist():
                 lists = held.setdefault(block, ([], []))
-                for use in (False, True):
+                for use in np.unique(learn[blocks == block]).tolist():
                     at = np.flatnonzero((blocks == block) & (learn == use))
                     for i, j in _batches(texts, at):
                         low = [_lowered(t) for t in texts.take(pa.array(at[i:j])).to_pylist()]
                         for keys in (gram_keys(low, order)[0], word_keys(low)[0]):
-                            k, n = _unique(keys, int(use))
+                            k, n = _unique(keys, use)
                             lists[0].append(k)
                             lists[1].append(n)
                         if len(lists[0]) >= 16:
@@ -257,7 +259,7 @@ def _score(order: int, tokens: int, distinct: int):
             cols[2].append(np.add.reduceat(np.log10(count + 1) + floor, begin))
         flat = [np.concatenate(c) if c else np.zeros(0) for c in cols]
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([left.column("doc_id"), left.column("held_out"), *(pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(flat, kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        return pa.table([left.column("digest"), *(pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(flat, kinds, strict=True))], names=["digest", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -268,12 +270,14 @@ def pretrained(docs: DataFrame, held_out: tuple[int, int] = (7, 2), order: int =
     Learned from the rows whose crc32(doc_id) has another remainder than held_out's.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (id_remainder(F.col("doc_id"), held_out[0]) == held_out[1]).alias("held_out"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", (id_remainder(F.col("doc_id"), held_out[0]) == held_out[1]).alias("held_out"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = int(max(1, -(-size // block_bytes)))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
-    dealt = rows.select(block, "doc_id", "held_out", "text")
-    keyed = dealt.select("block", (~F.col("held_out")).alias("learn"), "text").repartition(blocks, "block").mapInArrow(_count(order), "block long, key long, n long")
+    distinct_texts = rows.groupBy("digest").agg(F.first("text").alias("text"), F.sum(F.when(F.col("held_out"), 0).otherwise(1)).alias("learn"))
+    dealt = stage(distinct_texts.select(F.pmod(F.xxhash64("digest"), F.lit(blocks)).alias("block"), "digest", "learn", "text"), "ppm-texts")
+    release(spark)
+    keyed = dealt.select("block", "learn", "text").repartition(blocks, "block").mapInArrow(_count(order), "block long, key long, n long")
     keyed = stage(keyed, "ppm-keys")
     release(spark)
     totals = stage(keyed.groupBy("key").agg(F.sum("n").alias("n")), "ppm-totals")
@@ -284,15 +288,17 @@ def pretrained(docs: DataFrame, held_out: tuple[int, int] = (7, 2), order: int =
     values = log_probabilities(totals.where("key >= 0"), order).select(F.col("key").alias("_key"), F.col("lp").alias("value"))
     values = stage(values.unionByName(words.select(F.col("key").alias("_key"), F.col("n").cast("double").alias("value"))), "ppm-values")
     release(spark)
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, {_SCORES}"
     scored = None
     for wave in range(WAVES):
         turn = F.col("block") % WAVES == wave
         needed = keyed.where(turn).select("block", "key").join(values, F.col("key") == F.col("_key")).select("block", "key", "value")
-        part = stage(dealt.where(turn).groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_score(order, tokens, distinct), schema), "ppm-scores")
+        texts = dealt.where(turn).select("block", "digest", "text")
+        part = stage(texts.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_score(order, tokens, distinct), f"digest binary, {_SCORES}"), "ppm-scores")
         scored = part if scored is None else scored.unionByName(part)
         release(spark)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = scored.withColumnRenamed("digest", "_digest")
+    out = rows.select("doc_id", "held_out", "digest").join(scored, F.col("digest") == F.col("_digest"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def adaptive_bits(text: str | None, order: int = ORDER) -> float:

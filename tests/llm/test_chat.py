@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,3 +52,13 @@ def test_no_python_in_the_plan(spark):
     df = chat.digest(chat.format_conversations(spark.createDataFrame([(1, 0, "user", "x")], TURNS)))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_long_runs_in_linear_time(spark):
+    rows = [(1, i, "assistant", f"turn {i} <|x") for i in range(20_000)] + [(2, i, "user" if i % 130 == 64 else "assistant", "t") for i in range(1000)]
+    began = time.perf_counter()
+    chats, got = run(spark, rows)
+    assert got == sorted(expected(rows), key=str)
+    assert time.perf_counter() - began < 20
+    one = chats.where("conv_id = 1").first()
+    assert one["formatted"] == "".join(b["text"] for b in one["blocks"]) and one["formatted"].count("<|im_start|>") == 1

@@ -120,3 +120,37 @@ def test_key_table_finds_all_and_only_its_keys():
     table = ppm.KeyTable(keys[::2], np.arange(keys[::2].size, dtype=float))
     assert (table[keys[::2]] == np.arange(keys[::2].size)).all() and np.isnan(table[keys[1::2]]).all()
     assert np.isnan(ppm.KeyTable(keys[:0], np.zeros(0))[keys[:3]]).all()
+
+
+def test_word_columns_of_the_whole_table(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r for r in ppm.pretrained(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    counts = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    assert len(got) == len(rows)
+    for i, t in rows:
+        w = tokens(t)
+        assert (got[i]["held_out"], got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (held(i), len(w), sum(counts[x] > 0 for x in w), n)
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
+
+
+def test_words_made_to_collide_under_polynomial_hashes():
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    words = [thue, thue.translate(str.maketrans("ab", "ba")), thue[:64], thue[:64].translate(str.maketrans("ab", "ba")), thue[:16], "b" + thue[1:16], "a", "b", "a\x00", "ab", "x" * 65, "x" * 64]
+    keys, sizes = ppm.word_keys([ppm._lowered(" ".join(words)), ppm._lowered("ab"), ppm._lowered("")])
+    assert sizes.tolist() == [13, 2, 1] and len(set(keys[:12].tolist())) == 12
+    assert keys[13] == keys[9] and keys[12] == keys[14] == keys[15]
+
+
+def test_repeats_of_a_row_are_one_text(spark, docs_of):
+    first = next(i for i in range(100) if not held(i))
+    rows = [(first, "the same row again and again")] * 3000 + [(1000 + i, f"row {i} of the others") for i in range(30)]
+    got = ppm.pretrained(docs_of(rows), block_bytes=500).collect()
+    learn = [t for i, t in rows if not held(i)]
+    trie = Trie(ppm.ORDER)
+    for t in learn:
+        trie.learn(t)
+    assert len(got) == len(rows) and all(r["train_tokens"] == sum(len(tokens(t)) for t in learn) for r in got)
+    by = {r["doc_id"]: r["score"] for r in got}
+    for i, t in rows[2999:]:
+        assert by[i] == pytest.approx(trie.log10(t), rel=1e-9)

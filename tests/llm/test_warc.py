@@ -38,10 +38,17 @@ def test_records_are_rebuilt_exactly(spark):
         warc.write_archive(df, path, least)
         got = warc.read_archive(spark, path).collect()
         assert sorted(str(fields(r)) for r in got) == sorted(map(str, expected(pages, least)))
+        ids = set()
         for r in got:
             head, _, body = bytes(r["record"]).partition(b"\r\n\r\n")
             assert head.startswith(b"WARC/1.1\r\nWARC-Type: " + r["record_type"].encode()) and b"\r\nInjected" not in head
-            assert body.endswith(b"\r\n\r\n") and len(body) == r["payload_bytes"] + 4
+            named = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+            ids.add(named[b"WARC-Record-ID"])
+            assert named[b"WARC-Date"] == b"1970-01-01T00:00:00Z" and int(named[b"Content-Length"]) == len(body) - 4
+            assert body == (bytes(r["payload"]) if r["record_type"] == "response" else b"") + b"\r\n\r\n"
+            assert len(r["payload"]) == r["payload_bytes"]
+        assert len(ids) == len(pages) and all(dict(x.split(b": ", 1) for x in bytes(r["record"]).partition(b"\r\n\r\n")[0].split(b"\r\n")[1:]).get(b"WARC-Refers-To", next(iter(ids))) in ids for r in got)
+        assert sorted((r["page_id"] or 0, str(r["url"]), bytes(r["payload"])) for r in got) == sorted((i or 0, str(u), (h or "").encode()) for i, u, h in pages)
         assert spark.read.parquet(f"{path}/payloads").count() == len({h or "" for _, _, h in pages})
 
 
