@@ -5,16 +5,24 @@ lowered and cut into units: runs of letters, marked at their start as the vocabu
 marks words, of any length. A unit's likelihood is summed over all its
 segmentations into pieces by the forward algorithm; a text's is the product over its
 units. The piece probabilities are fitted by expectation maximisation over the
-distinct units of each language, starting from equal ones; a character that is no piece
-counts as the unknown piece.
+distinct units of each language, starting from equal ones, until a round raises the likelihood by
+less than ``tolerance`` of itself; a character that is no piece counts as the unknown piece.
+
+The fit learns from at most ``most`` different labelled texts, the first by hash (and counts how
+often each occurs); every text is scored. The vocabulary is a SentencePiece model of 32,000 pieces, described
+in the README beside it; its path is a parameter, and only its pieces are used.
+
+``keep_confident`` also rejects a text whose likelihood for each character, under its own language, lies far below
+that of the learned texts (``floor``: their median less twice the distance to their lowest thousandth), i.e. letters that
+no learned language explains.
 
 Units are scored in numpy, all of one length at once; a worker keeps the likelihoods of
 a bounded number of units and recomputes the others. What reaches the driver is one
-number for each piece and language.
+number for each piece and language, and one for each learned text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is every
 text if nothing was learned; ties go to the first language in sort order; repeated
-rows count as often as they occur; an empty table gives no rows. ``lang``, ``source`` and
+rows count as often as they occur; texts are taken whole, of any length that fits in a row; an empty table gives no rows. ``lang``, ``source`` and
 ``doc_id`` never enter a score. Other columns are ignored by ``predict`` and kept by
 ``keep_confident``.
 """
@@ -25,6 +33,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +45,7 @@ from kerbline.llm.common import id_remainder, stage
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units up to this length are summed as they are; in longer ones the sums are scaled, so that none vanishes.
 UNIT = 24
-CACHE_RUNS = 300_000
+CACHE_RUNS = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
 
@@ -137,7 +146,7 @@ def _forward_logs(pieces: Pieces, probs: np.ndarray, arcs: Iterable[tuple[int, i
     return logs
 
 
-def by_length(texts: list[str], most: int = 20_000) -> Iterator[tuple[np.ndarray, list[str]]]:
+def by_length(texts: list[str], most: int = 8_000) -> Iterator[tuple[np.ndarray, list[str]]]:
     """Indices and texts in groups of one length, of bounded size."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     for size in np.unique(sizes).tolist():
@@ -171,9 +180,9 @@ def run_likelihoods(pieces: Pieces, probs: np.ndarray, found: list[str]) -> np.n
     return likelihoods(pieces, probs, [_MARK + r for r in found])
 
 
-def expected_counts(pieces: Pieces, probs: np.ndarray, texts: list[str], weights: np.ndarray) -> np.ndarray:
-    """Expected number of each piece over all segmentations of weighted units (forward-backward)."""
-    total = np.zeros(probs.size)
+def expected_counts(pieces: Pieces, probs: np.ndarray, texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """Expected number of each piece over all segmentations of weighted units (forward-backward), and their log likelihood."""
+    total, reached = np.zeros(probs.size), 0.0
     for at, group in by_length(texts):
         size = len(group[0])
         arcs = list(_lattice(pieces, group))
@@ -184,6 +193,7 @@ def expected_counts(pieces: Pieces, probs: np.ndarray, texts: list[str], weights
             for i, j, rows, ids in arcs:
                 share = np.exp(fore[i, rows] + np.log(probs[ids]) + back[size - j, rows] - fore[size, rows])
                 total += np.bincount(ids, share * weights[at][rows], probs.size)
+            reached += float(fore[size] @ weights[at])
             continue
         alpha, beta = np.zeros((size + 1, len(group))), np.zeros((size + 1, len(group)))
         alpha[0] = beta[size] = 1
@@ -192,9 +202,10 @@ def expected_counts(pieces: Pieces, probs: np.ndarray, texts: list[str], weights
         for i, j, rows, ids in sorted(arcs, key=lambda a: -a[0]):
             beta[i, rows] += beta[j, rows] * probs[ids]
         scale = weights[at] / alpha[size]
+        reached += float(np.log(alpha[size]) @ weights[at])
         for i, j, rows, ids in arcs:
             total += np.bincount(ids, alpha[i, rows] * probs[ids] * beta[j, rows] * scale[rows], probs.size)
-    return total
+    return total, reached
 
 
 def _smoothed(counts: np.ndarray) -> np.ndarray:
@@ -204,16 +215,25 @@ def _smoothed(counts: np.ndarray) -> np.ndarray:
     return np.maximum(p, 1e-10)
 
 
-def fit(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, held_out: tuple[int, int] | None = (4, 2)) -> tuple[list[str], Pieces, np.ndarray]:
-    """Languages, pieces and probs[piece, language] from ``text`` and non-null ``lang``.
+def _sample(docs: DataFrame, held_out: tuple[int, int] | None, most: int) -> DataFrame:
+    """lang, text, n of the first ``most`` different labelled texts by hash."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    if held_out:
+        rows = rows.where(id_remainder(F.col("doc_id"), held_out[0]) != held_out[1])
+    rows = rows.select(F.xxhash64("lang", "text").alias("_h"), "lang", "text")
+    last = rows.select("_h").distinct().orderBy("_h").limit(most).agg(F.max("_h")).first()[0]
+    rows = rows.where(F.col("_h") <= F.lit(-(2**63) if last is None else last))
+    return stage(rows.groupBy("_h").agg(F.first("lang").alias("lang"), F.first("text").alias("text"), F.count("*").alias("n")).drop("_h"), "langid-sample")
+
+
+def fit(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 12, held_out: tuple[int, int] | None = (4, 2), most: int = 20_000, tolerance: float = 1e-3) -> Model:
+    """The model from ``text`` and non-null ``lang``.
 
     held_out: (modulus, remainder) of crc32(doc_id) that are not learned from.
     """
     spark = docs.sparkSession
     pieces = Pieces(load_pieces(vocabulary))
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    if held_out:
-        rows = rows.where(id_remainder(F.col("doc_id"), held_out[0]) != held_out[1])
+    sample = _sample(docs, held_out, most)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[str, Counter] = {}
@@ -225,45 +245,81 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, held_out
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "run", "n"])
 
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                tally.setdefault(lang, Counter()).update(runs(text))
+            for lang, text, n in zip(*(b.column(c).to_pylist() for c in ("lang", "text", "n")), strict=True):
+                of = tally.setdefault(lang, Counter())
+                for run, k in Counter(runs(text)).items():
+                    of[run] += k * n
                 if sum(map(len, tally.values())) > CACHE_RUNS:
                     yield flush()
         yield flush()
 
-    counted = rows.select("lang", "text").mapInArrow(count, "lang string, run string, n long")
+    counted = sample.mapInArrow(count, "lang string, run string, n long")
     counted = stage(counted.groupBy("lang", "run").agg(F.sum("n").alias("n")), "langid-runs")
     langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     size = len(pieces.pieces) + 1
     probs = np.full((size, len(langs)), 1.0 / size)
-    for _ in range(rounds):
-        if not langs:
-            break
+    before = -np.inf
+    for _ in range(rounds if langs else 0):
         shared = spark.sparkContext.broadcast((langs, pieces, probs))
         sums = counted.mapInArrow(_expect(shared), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+        shared.destroy()
+        lang, piece, n = (sums[c].to_numpy() for c in ("lang", "piece", "n"))
         counts = np.zeros_like(probs)
-        counts[sums["piece"].to_numpy(), sums["lang"].to_numpy()] = sums["n"].to_numpy()
+        counts[piece[piece >= 0], lang[piece >= 0]] = n[piece >= 0]
         probs = np.stack([_smoothed(counts[:, k]) for k in range(len(langs))], axis=1)
-    return langs, pieces, probs
+        reached = float(n[piece < 0].sum())  # the log likelihood under the probabilities of the round before
+        if reached - before <= tolerance * abs(reached):
+            break
+        before = reached
+    model = Model(langs, pieces, probs)
+    if langs:
+        shared = spark.sparkContext.broadcast(model)
+
+        def typical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(*shared.value[:3])
+            for b in batches:
+                got = [x for lang, _, x in scorer.judge(b.column("text").to_pylist()) if lang != "und"]
+                yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64())], names=["x"])
+
+        found = sample.mapInArrow(typical, "x double").toArrow()["x"].to_numpy()  # of ``most`` texts
+        shared.destroy()
+        if found.size:
+            middle, low = np.median(found), np.quantile(found, 0.001)
+            model = model._replace(floor=float(middle - 2 * (middle - low)))
+    return model
 
 
 def _expect(shared):
+    """(lang, piece, n): expected counts, and as piece -1 the log likelihood."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, pieces, probs = shared.value
         at = {x: k for k, x in enumerate(langs)}
-        total = np.zeros(probs.T.shape)
+        total, reached = np.zeros(probs.T.shape), np.zeros(len(langs))
         for b in batches:
             of = np.array([at[x] for x in b.column("lang").to_pylist()], np.int64)
             marked, n = [_MARK + r for r in b.column("run").to_pylist()], b.column("n").to_numpy().astype(float)
             for k in np.unique(of).tolist():
-                rows = np.flatnonzero(of == k).tolist()
-                total[k] += expected_counts(pieces, np.ascontiguousarray(probs[:, k]), [marked[i] for i in rows], n[rows])
+                rows = np.flatnonzero(of == k)
+                counts, logs = expected_counts(pieces, np.ascontiguousarray(probs[:, k]), [marked[i] for i in rows.tolist()], n[rows])
+                total[k] += counts
+                reached[k] += logs
         lang, piece = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[lang, piece])], names=["lang", "piece", "n"])
+        lang, piece, n = np.concatenate([lang, np.arange(len(langs))]), np.concatenate([piece, np.full(len(langs), -1)]), np.concatenate([total[lang, piece], reached])
+        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(n)], names=["lang", "piece", "n"])
 
     return run
 
 
+class Model(NamedTuple):
+    """Languages, pieces, probs[piece, language], and the least log likelihood a character of a text in a learned language."""
+
+    langs: list[str]
+    pieces: Pieces
+    probs: np.ndarray
+    floor: float = -np.inf
+
+
 class Scorer:
     """Predictions for texts; remembers the likelihoods of recent letter runs."""
 
@@ -288,8 +344,9 @@ class Scorer:
             self.known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
         return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = []
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Language, score, and the log likelihood a character (word marks included) of each text."""
+        out: list[tuple[str, float, float]] = []
         for k in range(0, len(texts), 1024):
             docs = [runs(x) for x in texts[k : k + 1024]]
             flat = [r for doc in docs for r in doc]
@@ -297,21 +354,24 @@ class Scorer:
             at = 0
             for doc in docs:
                 if not self.langs or not any(c.isalpha() for r in doc for c in r):
-                    out.append(("und", 0.0))
+                    out.append(("und", 0.0, -np.inf))
                 else:
                     total = self.table[rows[at : at + len(doc)]].sum(axis=0)
-                    odds = np.exp(total - total.max())
-                    out.append((self.langs[int(odds.argmax())], float(1 / odds.sum())))
+                    best = int(total.argmax())
+                    out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum()), float(total[best] / (len(doc) + sum(map(len, doc))))))
                 at += len(doc)
         return out
 
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [x[:2] for x in self.judge(texts)]
+
 
-def predict(docs: DataFrame, model: tuple[list[str], Pieces, np.ndarray], held_out: tuple[int, int] = (4, 2)) -> DataFrame:
+def predict(docs: DataFrame, model: Model, held_out: tuple[int, int] = (4, 2)) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value)
+        scorer = Scorer(*shared.value[:3])
         for b in batches:
             got = scorer.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -320,13 +380,13 @@ def predict(docs: DataFrame, model: tuple[list[str], Pieces, np.ndarray], held_o
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
-def keep_confident(docs: DataFrame, model: tuple[list[str], Pieces, np.ndarray], least: float = 0.5) -> DataFrame:
-    """The rows whose language is told with a score of ``least`` or more, all columns as they were."""
+def keep_confident(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows whose language is told with a score of ``least`` or more and explains their letters, all columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value)
+        scorer, floor = Scorer(*shared.value[:3]), shared.value.floor
         for b in batches:
-            yield b.filter(pa.array([s >= least for _, s in scorer.predict(b.column(b.schema.names.index("text")).to_pylist())], pa.bool_()))
+            yield b.filter(pa.array([s >= least and x >= floor for _, s, x in scorer.judge(b.column(b.schema.names.index("text")).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

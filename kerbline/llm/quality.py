@@ -1,36 +1,38 @@
 """Quality classifier: a linear support vector machine over naive Bayes features.
 
-Features are indicators of a text's byte n-grams (1 to ``GRAMS`` bytes, case kept), hashed into
-2^``BITS`` columns and scaled by the columns' log-count ratios between the classes. The
-weights minimise the L2-regularised hinge loss by dual coordinate descent, are averaged
-towards their mean magnitude as is usual for this model, and a logistic link fitted to
+Features are indicators of a text's n-grams, hashed into 2^``BITS`` columns and scaled by the columns'
+log-count ratios between the classes: byte n-grams of 1 to ``GRAMS`` bytes (case kept, the text between marks for
+its start and end), and word n-grams of 2 to ``WORDS`` words up to renaming, i.e. which of the words are equal ("a b a").
+The weights minimise the L2-regularised hinge loss by dual coordinate descent, and a logistic link fitted to
 out-of-fold margins turns a margin into a score.
 
-The fit takes a bounded sample: ``most`` labelled ids, the first by hash. It's small
-enough to be broadcast to the documents, so no text is shuffled; the sampled features are
-gathered on the driver in bounded memory (a text has at most as many as columns, and
-typically 1,000). Scoring covers every row.
+The fit takes a bounded sample: at most ``most`` labelled ids, the first by hash, and of these the first
+that have ``most_cells`` features together (a text has at most 2^``BITS``, typically 1,000). The ids are
+broadcast to the documents, so no text is shuffled; the sampled features are gathered on the driver, 4 bytes each, and
+8 more while it fits. Scoring covers every row.
 
-Defined results: null and empty texts score the bias alone; labels that are null or not 0 or 1
+Defined results: null and empty texts score by the marks alone; labels that are null or not 0 or 1
 are ignored, of several labels for an id the lowest counts; if there is no label of one class
-every text scores the share of class 1 (0.5 without labels); repeated rows get equal scores; an
-empty table gives no rows. ``labels``, ``lang``, ``source`` and ``doc_id`` never enter a score.
+every text scores the share of class 1 (0.5 without labels); repeated rows get equal scores; texts are
+taken whole, of any length that fits in a row; an empty table gives no rows. ``labels``, ``lang``, ``source`` and
+``doc_id`` never enter a score. Other columns are ignored by ``predict`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import id_remainder
+from kerbline.llm.common import id_remainder, stage
 
 GRAMS = 3
+WORDS = 6
 BITS = 17
+_START, _END = b"\x02", b"\x03"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,25 +43,32 @@ class Grams:
         self.stamp = np.zeros(1 << BITS, np.int32)
 
     @staticmethod
-    def _shape(text: str) -> np.ndarray:
-        """Word n-grams up to the names of their words: how often a word follows itself or the one before; and the length class."""
-        words = text.split()
-        n = max(len(words), 1)
-        out = [300 + n.bit_length()]
-        for k, apart in enumerate((1, 2, 3)):
-            same = sum(map(eq, words, words[apart:]))
-            out += [1000 * (k + 1) + i for i, share in enumerate((0.0, 0.03, 0.1, 0.3, 0.6)) if same > share * n]
-        return np.array(out, np.uint64) | np.uint64(7 << 60)
+    def _patterns(text: str) -> list[np.ndarray]:
+        """Codes of the word n-grams up to renaming: for each word after the first the place of the first word equal to it, or 0."""
+        ids: dict[str, int] = {}
+        words = np.array([ids.setdefault(x, len(ids)) for x in text.split()], np.int32)
+        same = [np.concatenate([np.zeros(min(k, words.size), bool), words[k:] == words[:-k]]) for k in range(1, WORDS)]  # as the word k before
+        out = []
+        for n in range(2, min(WORDS, words.size) + 1):
+            m = words.size - n + 1
+            code = np.zeros(m, np.uint64)
+            for j in range(1, n):
+                first = np.zeros(m, np.uint64)
+                for k in range(1, j + 1):  # the earliest is set last
+                    first[same[k - 1][j : j + m]] = j - k + 1
+                code = code * np.uint64(8) + first
+            out.append(np.unique(code) | np.uint64((100 + n) << 56))
+        return out
 
     def columns(self, text: str | None) -> np.ndarray:
-        data = np.frombuffer((text or "").encode(), np.uint8).astype(np.uint64)
+        data = np.frombuffer(_START + (text or "").encode() + _END, np.uint8).astype(np.uint64)
         codes, code = [], np.zeros(data.size, np.uint64)
         for n in range(GRAMS):
             code = (code[: data.size - n] << np.uint64(8)) | data[n:] if n else data
             codes.append(code | np.uint64((n + 1) << 56))
             if data.size <= n + 1:
                 break
-        codes.append(self._shape(text or ""))
+        codes += self._patterns(text or "")
         with np.errstate(over="ignore"):
             at = ((np.concatenate(codes) * _ODD) >> np.uint64(64 - BITS)).astype(np.int64)
         order = np.arange(at.size, dtype=np.int32)
@@ -152,8 +161,8 @@ def train(rows: list[np.ndarray], labels: np.ndarray, folds: int = 3) -> dict:
     return {"scale": scale, "weights": weights, "bias": bias, "slope": slope, "offset": offset}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 8000, held_out: tuple[int, int] | None = (4, 2)) -> dict:
-    """A model of ``labels.quality``, from at most ``most`` labelled rows outside the held-out remainder."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 8000, held_out: tuple[int, int] | None = (4, 2), most_cells: int = 40_000_000) -> dict:
+    """A model of ``labels.quality``, from a bounded sample of the labelled rows outside the held-out remainder."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     if held_out:
         known = known.where(id_remainder(F.col("doc_id"), held_out[0]) != held_out[1])
@@ -167,9 +176,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             cols = [grams.columns(x).astype(np.int32).tobytes() for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("y").cast(pa.int32()), pa.array(cols, pa.binary())], names=["id", "y", "cols"])
 
-    sample = texts.mapInArrow(run, "id string, y int, cols binary").groupBy("id").agg(F.first("y").alias("y"), F.min("cols").alias("cols")).toArrow().sort_by("id")
-    rows = [np.frombuffer(x, np.int32) for x in sample["cols"].to_pylist()]
-    return train(rows, np.array(sample["y"].to_pylist(), np.int64))
+    sample = stage(texts.mapInArrow(run, "id string, y int, cols binary").groupBy("id").agg(F.first("y").alias("y"), F.min("cols").alias("cols")), "quality-sample")
+    upto = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)  # of ``most`` rows
+    fits = sample.select("id", F.sum(F.length("cols") / 4).over(upto).alias("cells")).where(F.col("cells") <= most_cells).select(F.col("id").alias("_id"))
+    got = sample.join(F.broadcast(fits), F.col("id") == F.col("_id")).select("id", "y", "cols").toArrow().sort_by("id")
+    rows = [np.frombuffer(x, np.int32) for x in got["cols"].to_pylist()]
+    return train(rows, np.array(got["y"].to_pylist(), np.int64))
 
 
 class Scorer:

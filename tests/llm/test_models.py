@@ -42,7 +42,8 @@ def test_forward_sums_all_segmentations():
         for ids, p in shares:
             np.add.at(counts, ids, weights[k] * p / want[k][0])
     assert langid.likelihoods(pieces, probs, texts) == pytest.approx(np.log(want))
-    assert langid.expected_counts(pieces, np.ascontiguousarray(probs[:, 0]), texts, weights) == pytest.approx(counts)
+    got, reached = langid.expected_counts(pieces, np.ascontiguousarray(probs[:, 0]), texts, weights)
+    assert got == pytest.approx(counts) and reached == pytest.approx(np.log(want[:, 0]) @ weights)
 
 
 def test_units_cover_whole_texts():
@@ -112,6 +113,44 @@ def test_quality_odd_rows(spark, docs_of, odd):
     assert quality.predict(docs.where(F.lit(False)), model).collect() == []
 
 
+def slow_columns(text):
+    """The indicators, named by what they stand for, put in columns by the same hash."""
+    raw = b"\x02" + (text or "").encode() + b"\x03"
+    codes = {(n << 56) | int.from_bytes(raw[i : i + n], "big") for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+    words = (text or "").split()
+    for n in range(2, 7):
+        for i in range(len(words) - n + 1):
+            gram = words[i : i + n]
+            places = [gram.index(w) + 1 if gram.index(w) < j else 0 for j, w in enumerate(gram)]
+            codes.add(((100 + n) << 56) | sum(p * 8 ** (n - 1 - j) for j, p in enumerate(places)))
+    return {(c * 0x9E3779B97F4A7C15 % 2**64) >> (64 - quality.BITS) for c in codes}
+
+
+def test_columns_are_the_ngrams_of_the_whole_text(spark, sf):
+    grams = quality.Grams()
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 120").collect()]
+    for t in [*texts, None, "", " ", "a", "a a", "a b a b a b", "x y z x x", "ü\U0001f600"]:
+        got = grams.columns(t).tolist()
+        assert len(got) == len(set(got)) and set(got) == slow_columns(t)
+
+
+def test_every_score_of_the_table_by_its_definition(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = quality.fit(docs, labels)
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in quality.predict(docs, m).collect()[::3]:
+        at = sorted(slow_columns(text[r["doc_id"]]))
+        norm = math.sqrt(sum(m["scale"][i] ** 2 for i in at)) + 1e-12
+        margin = m["bias"] + sum(m["scale"][i] * m["weights"][i] for i in at) / norm
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, m["slope"] * margin + m["offset"])))), rel=1e-9)
+
+
+def test_the_sample_is_bounded_by_features_too(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    few = quality.fit(docs, labels, most_cells=60_000)
+    assert 0 < np.count_nonzero(few["weights"]) <= 60_000
+
+
 def test_score_is_the_margin_of_the_whole_text():
     rows = ["good text here", "bad!!! text###", "more good words", "###!!!"]
     grams = quality.Grams()
@@ -122,3 +161,41 @@ def test_score_is_the_margin_of_the_whole_text():
     for t, x in zip(rows, m, strict=True):
         assert scorer.score(t) == pytest.approx(1 / (1 + math.exp(-(model["slope"] * x + model["offset"]))))
     assert len(set(grams.columns("abcabc").tolist())) == grams.columns("abcabc").size
+
+
+def slow_forward(unit, ids, probs, unknown):
+    """Log of the sum over all segmentations, by the recurrence on plain floats."""
+    total = [1.0] + [0.0] * len(unit)
+    for j in range(1, len(unit) + 1):
+        for i in range(max(0, j - 20), j):
+            k = ids.get(unit[i:j], unknown if j - i == 1 else None)
+            if k is not None:
+                total[j] += total[i] * probs[k]
+    return math.log(total[-1])
+
+
+def test_every_language_score_of_the_table_by_its_definition(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    ids = {p: i for i, p in enumerate(model.pieces.pieces)}
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    known = {}
+    for r in sorted(langid.predict(docs, model).collect(), key=lambda r: r["doc_id"])[::25]:
+        words = [w for w in "".join(c if c.isalpha() else " " for c in (text[r["doc_id"]] or "").lower()).split() if len(w) < 60]
+        total = np.zeros(len(model.langs))
+        for w in words:
+            if w not in known:
+                known[w] = np.array([slow_forward("▁" + w, ids, model.probs[:, k], len(ids)) for k in range(len(model.langs))])
+            total += known[w]
+        if words:
+            odds = np.exp(total - total.max())
+            assert r["lang_pred"] == model.langs[int(odds.argmax())] and r["score"] == pytest.approx(1 / odds.sum(), rel=1e-6)
+
+
+def test_letters_of_no_learned_language_are_rejected(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    kept = langid.keep_confident(docs, model).count()
+    assert kept >= 0.999 * docs.where("text is not null").count()
+    junk = [(1, "xkcd qzrtv wqxz jjkpl vbnmq zzxqw qwrtp " * 20), (2, "слова на другом языке, которого модель не знает " * 10), (3, "日本語の文章です。" * 30)]
+    assert langid.keep_confident(spark.createDataFrame(junk, "doc_id long, text string"), model).count() == 0
