@@ -29,24 +29,36 @@ def crossing_counts(crossed: DataFrame) -> DataFrame:
 
 def crossing_rows(detections: DataFrame, crossed: DataFrame) -> DataFrame:
     """All rows of the tracks that crossed, of any class."""
-    return detections.join(crossed, TRACK, "left_semi")
+    return detections.join(crossed.select(*TRACK), TRACK, "left_semi")
 
 
-def crossing_times(detections: DataFrame, crossed: DataFrame, segments: DataFrame) -> DataFrame:
+def track_shapes(detections: DataFrame, left: float = 0.45, right: float = 0.55, person: int = PERSON) -> DataFrame:
+    """All that is asked of the tracks that cross, from one pass over the detections and one shuffle by track.
+
+    low, high and height of all its rows, of any class; at_low and at_high, the numbers of the first rows at
+    these; first_row and last_row. Whether it crosses is told by its person rows.
+    """
+    along = Window.partitionBy(*TRACK).orderBy("row_idx")
+    as_person = F.when(F.col("yolo_id") == person, F.col("x"))
+    rows = detections.where("unique_id is not null").select(*TRACK, "row_idx", "x", "height", as_person.alias("px"), F.row_number().over(along).alias("rn"))
+    shapes = rows.groupBy(*TRACK).agg(
+        F.min("px").alias("from_x"), F.max("px").alias("to_x"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("height").alias("height"),
+        F.min_by("rn", F.struct("x", "rn")).alias("at_low"), F.min_by("rn", F.struct(-F.col("x"), "rn")).alias("at_high"),
+        F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"),
+    )
+    return shapes.where((F.col("from_x") <= left) & (F.col("to_x") >= right)).drop("from_x", "to_x")
+
+
+def crossing_times(shapes: DataFrame, segments: DataFrame) -> DataFrame:
     """Seconds between a track's first extreme positions: rows from one to the other over the frame rate."""
-    rows = crossing_rows(detections, crossed).withColumn("rn", F.row_number().over(Window.partitionBy(*TRACK).orderBy("row_idx")))
-    spans = rows.groupBy(*TRACK).agg(F.min_by("rn", F.struct("x", "rn")).alias("a"), F.min_by("rn", F.struct(-F.col("x"), "rn")).alias("b"))
-    fps = F.broadcast(segments.select(*SEGMENT, "fps"))
-    return spans.join(fps, SEGMENT).select(*TRACK, ((F.abs(F.col("a") - F.col("b")) + 1) / F.col("fps")).alias("crossing_time_s"))
+    where = segments.select(*SEGMENT, "country", F.col("time_of_day").alias("condition"), "fps", "avg_height")
+    return shapes.join(where, SEGMENT).withColumn("crossing_time_s", (F.abs(F.col("at_low") - F.col("at_high")) + 1) / F.col("fps"))
 
 
-def crossing_speeds(detections: DataFrame, times: DataFrame, segments: DataFrame, limit: float = 1.42, fix_known_defects: bool = False) -> DataFrame:
+def crossing_speeds(times: DataFrame, limit: float = 1.42, fix_known_defects: bool = False) -> DataFrame:
     """Metres a second from a track's width in units of its mean box height; faster ones are rejected."""
-    shape = crossing_rows(detections, times).groupBy(*TRACK).agg(F.avg("height").alias("h"), F.min("x").alias("a"), F.max("x").alias("b"))
-    where = F.broadcast(segments.select(*SEGMENT, "country", F.col("time_of_day").alias("condition"), "avg_height"))
-    rows = shape.join(times, TRACK).join(where, SEGMENT)
-    metres = F.try_divide(F.col("b") - F.col("a"), F.col("h") / F.col("avg_height"))
-    rows = rows.withColumn("speed", F.try_divide(metres, F.col("crossing_time_s")) / 100)
+    metres = F.try_divide(F.col("high") - F.col("low"), F.col("height") / F.col("avg_height"))
+    rows = times.withColumn("speed", F.try_divide(metres, F.col("crossing_time_s")) / 100)
     keep = F.col("speed") <= limit
     return rows.where(keep if fix_known_defects else keep | F.isnan("speed")).select(*TRACK, "country", "condition", "speed")
 
@@ -84,21 +96,22 @@ def hesitation_times(detections: DataFrame, segments: DataFrame, person: int = P
     rows = rows.withColumn("runs", F.max("run").over(whole))
     runs = rows.where("still and run < runs").groupBy(*TRACK, "run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     first = runs.groupBy(*TRACK).agg(F.min_by("n", "run").alias("n"))
-    where = F.broadcast(segments.select(*SEGMENT, "country", F.col("time_of_day").alias("condition"), "fps"))
+    where = segments.select(*SEGMENT, "country", F.col("time_of_day").alias("condition"), "fps")
     return first.join(where, SEGMENT).where("n <= 0.9 * fps").select(*TRACK, "country", "condition", (F.col("n") / (F.col("fps") / step)).alias("hesitation_s"))
 
 
-def crossings_with_equipment(detections: DataFrame, crossed: DataFrame, classes: Sequence[int] = EQUIPMENT) -> DataFrame:
+def crossings_with_equipment(detections: DataFrame, shapes: DataFrame, classes: Sequence[int] = EQUIPMENT) -> DataFrame:
     """Whether any row between a track's first and last row of the segment is of the classes.
 
-    A running count along the segment answers every interval at once, so there is no range join.
+    Only the tracks' first rows and the equipment's are put in order: looking back from the segment's end, the
+    last equipment row passed is the next one after a track began. So there is no range join, and the
+    other detections aren't shuffled.
     """
-    along = Window.partitionBy(*SEGMENT).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    is_one = F.col("yolo_id").isin(list(classes)).cast("int")
-    counted = detections.select(*TRACK, "row_idx", is_one.alias("eq"), F.sum(is_one).over(along).alias("upto"))
-    rows = counted.join(crossed, TRACK, "left_semi")
-    inside = F.max_by("upto", "row_idx") - (F.min_by("upto", "row_idx") - F.min_by("eq", "row_idx"))
-    return rows.groupBy(*TRACK).agg((inside > 0).alias("equipped"))
+    marks = detections.where(F.col("yolo_id").isin(list(classes))).select(*SEGMENT, "row_idx", F.col("row_idx").alias("at"))
+    began = shapes.select(*SEGMENT, F.col("first_row").alias("row_idx"), "unique_id", "last_row")
+    back = Window.partitionBy(*SEGMENT).orderBy(F.col("row_idx").desc(), F.col("unique_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = began.unionByName(marks, allowMissingColumns=True).withColumn("next", F.min("at").over(back))
+    return rows.where("unique_id is not null").select(*TRACK, F.coalesce(F.col("next") <= F.col("last_row"), F.lit(False)).alias("equipped"))
 
 
 def equipment_by_condition(equipped: DataFrame, segments: DataFrame) -> DataFrame:
@@ -108,11 +121,11 @@ def equipment_by_condition(equipped: DataFrame, segments: DataFrame) -> DataFram
     return rows.groupBy("country", "condition").agg(F.coalesce(F.sum("with"), F.lit(0)).alias("with_equipment"), F.coalesce(F.sum("without"), F.lit(0)).alias("without_equipment"), F.sum("duration").cast("long").alias("seconds"))
 
 
-def light_share(detections: DataFrame, crossed: DataFrame, segments: DataFrame) -> DataFrame:
+def light_share(detections: DataFrame, shapes: DataFrame, segments: DataFrame) -> DataFrame:
     """Percentage of crossings without a traffic light, each segment's counts being rates a minute."""
-    lit_ = crossings_with_equipment(detections, crossed, (TRAFFIC_LIGHT,))
+    lit_ = crossings_with_equipment(detections, shapes, (TRAFFIC_LIGHT,))
     per = lit_.groupBy(*SEGMENT).agg(F.count_if("equipped").alias("a"), F.count_if(~F.col("equipped")).alias("b"))
-    rows = per.join(F.broadcast(segments), SEGMENT).withColumn("condition", F.col("time_of_day"))
+    rows = per.join(segments, SEGMENT).withColumn("condition", F.col("time_of_day"))
     rows = rows.groupBy("country", "condition").agg(F.sum(F.col("a") * 60 / F.col("duration")).alias("a"), F.sum(F.col("b") * 60 / F.col("duration")).alias("b"))
     return rows.where("a + b <> 0").select("country", "condition", (100 * F.col("b") / (F.col("a") + F.col("b"))).alias("without_light_pct"))
 

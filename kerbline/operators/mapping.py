@@ -101,3 +101,22 @@ def search_key(entries: DataFrame, search_for: str, nested: bool = False) -> Dat
     near = lambda v: F.contains(v, F.lit(search_for)) | F.contains(F.lit(search_for), v)
     hit = F.exists("value", near) if nested else near(F.col("value"))
     return entries.where(hit).agg(F.min_by("key", "pos").alias("key"))
+
+
+def place_query(rows: DataFrame) -> Column:
+    """The words a place is looked up by: city, state if there is one, country."""
+    return F.concat_ws(", ", "city", F.when(F.lower("state") != "nan", F.col("state")), "country")
+
+
+def locate(mapping: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """lat and lon of cities without them, from the first row of the gazetteer of the same name."""
+    places = gazetteer.groupBy(place_query(gazetteer).alias("_place")).agg(F.min(F.struct("lat", "lon")).alias("_at"))
+    rows = mapping.withColumn("_query", place_query(mapping)).join(places, F.col("_query") == F.col("_place"), "left")
+    new = F.col("lat").isNull() | F.col("lon").isNull() | F.isnan("lat") | F.isnan("lon")
+    return rows.withColumns({c: F.when(new, F.col(f"_at.{c}")).otherwise(F.col(c)) for c in ("lat", "lon")}).drop("_query", "_place", "_at")
+
+
+def screenshot_of(mapping: DataFrame, files: DataFrame) -> DataFrame:
+    """id, file: the first file, by name, that is called as the city, case ignored; files: ``file``."""
+    named = files.groupBy(F.lower(F.regexp_replace("file", r"\.[^.]*$", "")).alias("_city")).agg(F.min("file").alias("file"))
+    return mapping.join(named, F.lower("city") == F.col("_city")).select("id", "file")

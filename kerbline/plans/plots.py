@@ -1,4 +1,7 @@
-"""Figures as tables: what a chart would draw, one row for each mark."""
+"""Figures as tables: what a chart would draw, one row for each mark.
+
+Windows without a partition number the rows of a chart, i.e. as many as countries or cities.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +19,18 @@ def nonzero(rows: DataFrame, column: str) -> DataFrame:
     return rows.where(F.coalesce(column, F.lit(0.0)) != 0)
 
 
+def without_nan(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows that have a number in each of the columns, neither null nor NaN."""
+    for c in columns:
+        rows = rows.where(F.col(c).isNotNull() & ~F.isnan(c))
+    return rows
+
+
+def hover_columns(rows: DataFrame, hidden: Sequence[str]) -> list[str]:
+    """What a chart shows of a row: all columns but the hidden ones, in order."""
+    return [c for c in rows.columns if c not in set(hidden)]
+
+
 def finite_rows(rows: DataFrame) -> DataFrame:
     """Rows without a null, NaN or infinity in any column."""
     numbers = [c for c, t in rows.dtypes if t in ("double", "float")]
@@ -44,10 +59,14 @@ def city_points(mapping: DataFrame, names: dict[str, str]) -> DataFrame:
     return mapping.where("lon is not null and lat is not null").select("city", "lon", "lat").replace(names, subset=["city"])
 
 
+def joined_metrics(speed: DataFrame, time: DataFrame) -> DataFrame:
+    """Speed and time of the countries and conditions that have both."""
+    return without_nan(speed.join(time, ["country", "condition"]), "speed", "time")
+
+
 def paired_bars(speed: DataFrame, time: DataFrame) -> DataFrame:
     """Day and night speed and time of countries that have both metrics in a condition, dealt to two columns."""
-    both = speed.join(time, ["country", "condition"]).where("speed is not null and time is not null")
-    wide = T.wide_features(both, ["speed", "time"])
+    wide = T.wide_features(joined_metrics(speed, time), ["speed", "time"])
     return R.two_columns(wide, F.substring("country", 1, 1), F.col("country"))
 
 
@@ -55,7 +74,7 @@ def stacked_bars(metric: DataFrame, value: str, order_by: str = "alphabetical",
     """country, day, night, mean and place of the bars of one metric, smaller ones left out."""
     if value not in ("speed", "time"):
         raise ValueError("the metric is speed or time")
-    wide = metric.groupBy("country").pivot("condition", [0, 1]).agg(F.first(value)).withColumnsRenamed({"0": "day", "1": "night"})
+    wide = without_nan(metric, value).groupBy("country").pivot("condition", [0, 1]).agg(F.first(value)).withColumnsRenamed({"0": "day", "1": "night"})
     wide = wide.withColumn("mean", S.safe_average("day", "night"))
     shown = {"day": ["day"], "night": ["night"], "combined": ["day", "night"]}[data_view]
     keep = F.lit(False)

@@ -50,7 +50,7 @@ def _with(*ctes: str) -> str:
 SELECT video_id, start_time, count(*) AS n FROM detections WHERE video_id IN (SELECT video_id FROM wanted) GROUP BY ALL""")
 def src1(spark, sf):
     wanted = scans.allowed_videos(V.mapping(spark, sf), ["ame", "ASI"])
-    return V.detections(spark, sf).join(F.broadcast(wanted), "video_id", "left_semi").groupBy("video_id", "start_time").agg(F.count("*").alias("n"))
+    return V.detections(spark, sf).join(wanted, "video_id", "left_semi").groupBy("video_id", "start_time").agg(F.count("*").alias("n"))
 
 
 @query("SRC3", _with(V.MAPPING) + "SELECT id, city, iso3 FROM mapping WHERE iso3 IN ('AFR', 'EUR')")
@@ -66,15 +66,16 @@ def src12(spark, sf):
 
 @query("SRC10", _with(V.MAPPING) + ", g AS (SELECT n_name AS city, n_nationkey * 2.0::DOUBLE AS glat, n_regionkey * 5.0::DOUBLE AS glon FROM nation WHERE n_nationkey % 3 = 0) SELECT id, concat_ws(', ', mapping.city, state, country) AS query, coalesce(lat, glat) AS lat, coalesce(lon, glon) AS lon FROM mapping LEFT JOIN g ON mapping.city = g.city")
 def src10(spark, sf):
-    n = V.table(spark, sf, "nation").where("n_nationkey % 3 = 0")
-    gazetteer = n.select(F.col("n_name").alias("_city"), (F.col("n_nationkey") * 2.0).alias("glat"), (F.col("n_regionkey") * 5.0).alias("glon"))
-    rows = V.mapping(spark, sf).join(F.broadcast(gazetteer), F.col("city") == F.col("_city"), "left")
-    return rows.select("id", F.concat_ws(", ", "city", "state", "country").alias("query"), F.coalesce("lat", "glat").alias("lat"), F.coalesce("lon", "glon").alias("lon"))
+    """A gazetteer of a third of the cities, so that some stay without a place."""
+    n, mapping = V.table(spark, sf, "nation").where("n_nationkey % 3 = 0"), V.mapping(spark, sf)
+    known = n.select(F.col("n_name").alias("city"), (F.col("n_nationkey") * 2.0).alias("lat"), (F.col("n_regionkey") * 5.0).alias("lon"))
+    gazetteer = known.join(mapping.select("city", "state", "country"), "city")
+    return M.locate(mapping, gazetteer).select("id", M.place_query(mapping).alias("query"), "lat", "lon")
 
 
 @query("SNK6", _with(V.DETECTIONS, V.SEGMENTS) + "SELECT detections.row_idx, greatest(0.0::DOUBLE, x * 60 - 5) AS t0, least(duration::DOUBLE, x * 60 + 5) AS t1 FROM detections JOIN segments USING (video_id, start_time) WHERE yolo_id = 9")
 def snk6(spark, sf):
-    rows = V.detections(spark, sf).where("yolo_id = 9").join(F.broadcast(V.segments(spark, sf).select("video_id", "start_time", "duration")), ["video_id", "start_time"])
+    rows = V.detections(spark, sf).where("yolo_id = 9").join(V.segments(spark, sf).select("video_id", "start_time", "duration"), ["video_id", "start_time"])
     return sinks.event_clips(rows.withColumn("t", F.col("x") * 60), "t", "duration").select("row_idx", "t0", "t1")
 
 
@@ -249,12 +250,16 @@ def _crossed(spark, sf):
     return E.crossings(V.detections(spark, sf), LEFT, RIGHT)
 
 
-def _times(spark, sf):
-    return E.crossing_times(V.detections(spark, sf), _crossed(spark, sf), V.segments(spark, sf))
+def _shapes(spark, sf, left=LEFT, right=RIGHT):
+    return E.track_shapes(V.detections(spark, sf), left, right)
+
+
+def _times(spark, sf, left=LEFT, right=RIGHT):
+    return E.crossing_times(_shapes(spark, sf, left, right), V.segments(spark, sf))
 
 
 def _speeds(spark, sf):
-    return E.crossing_speeds(V.detections(spark, sf), _times(spark, sf), V.segments(spark, sf))
+    return E.crossing_speeds(_times(spark, sf))
 
 
 @query("EVT1", _with(V.DETECTIONS, _CROSSED) + "SELECT * FROM crossed")
@@ -269,7 +274,7 @@ def flt3(spark, sf):
 
 @query("EVT2", _with(*_BASE, _TIMES) + "SELECT video_id, start_time, unique_id, crossing_time_s FROM times")
 def evt2(spark, sf):
-    return _times(spark, sf)
+    return _times(spark, sf).select(*E.TRACK, "crossing_time_s")
 
 
 @query("EVT3", _with(*_BASE, _TIMES, _SPEEDS) + "SELECT video_id, start_time, unique_id, country, condition, round(speed, 9) AS speed FROM speeds")
@@ -294,10 +299,7 @@ def evt5(spark, sf):
 )
 def crossing_time(spark, sf):
     """Mean crossing time by country and time of day, and over both."""
-    det, segs = V.detections(spark, sf), V.segments(spark, sf)
-    times = E.crossing_times(det, E.crossings(det), segs)
-    where = F.broadcast(segs.select(*E.SEGMENT, "country", F.col("time_of_day").alias("condition")))
-    return E.mean_by_condition(times.join(where, E.SEGMENT), "crossing_time_s", "crossing_time_s").withColumn("crossing_time_s", F.round("crossing_time_s", 9))
+    return E.mean_by_condition(_times(spark, sf, 0.45, 0.55), "crossing_time_s", "crossing_time_s").withColumn("crossing_time_s", F.round("crossing_time_s", 9))
 
 
 flagship = crossing_time
@@ -330,40 +332,53 @@ def evt8(spark, sf):
     return E.mean_by_condition(_hesitation(spark, sf), "hesitation_s", "hesitation_s").withColumn("hesitation_s", F.round("hesitation_s", 9))
 
 
-# few detections are equipment, or every interval would have one
-_EQUIPPED = """rare AS (SELECT * REPLACE (CASE WHEN yolo_id IN (9, 11) AND row_idx % 211 <> 0 THEN 2 ELSE yolo_id END AS yolo_id) FROM detections),
-  span AS (SELECT video_id, start_time, unique_id, min(row_idx) AS a, max(row_idx) AS b FROM rare SEMI JOIN crossed USING (video_id, start_time, unique_id) GROUP BY ALL),
-  equipped AS (SELECT s.video_id, s.start_time, s.unique_id, bool_or(r.row_idx IS NOT NULL) AS equipped FROM span s
-    LEFT JOIN rare r ON r.video_id = s.video_id AND r.start_time = s.start_time AND r.yolo_id IN ({codes}) AND r.row_idx BETWEEN s.a AND s.b GROUP BY ALL)"""
-_EQ_ANY, _EQ_LIGHT = _EQUIPPED.format(codes="9, 11"), _EQUIPPED.format(codes="9")
+_EQUIPPED = """span AS (SELECT video_id, start_time, unique_id, min(row_idx) AS a, max(row_idx) AS b FROM detections SEMI JOIN crossed USING (video_id, start_time, unique_id) GROUP BY ALL),
+  seen AS (SELECT video_id, start_time, row_idx FROM {source} WHERE yolo_id IN ({codes})),
+  equipped AS (SELECT s.video_id, s.start_time, s.unique_id, coalesce(min(r.row_idx) <= any_value(s.b), false) AS equipped FROM span s
+    LEFT JOIN seen r ON r.video_id = s.video_id AND r.start_time = s.start_time AND r.row_idx >= s.a AND r.row_idx <= s.b GROUP BY ALL)"""
+_EQ_ANY, _EQ_LIGHT = _EQUIPPED.format(source="detections", codes="9, 11"), _EQUIPPED.format(source="detections", codes="9")
 _BY_CONDITION = "eqc AS (SELECT country, time_of_day AS condition, coalesce(sum(w), 0)::BIGINT AS with_equipment, coalesce(sum(o), 0)::BIGINT AS without_equipment, sum(duration)::BIGINT AS seconds FROM segments LEFT JOIN (SELECT video_id, start_time, count(*) FILTER (equipped) AS w, count(*) FILTER (NOT equipped) AS o FROM equipped GROUP BY ALL) e USING (video_id, start_time) GROUP BY ALL)"
-
-
-def _rare(spark, sf):
-    equipment = F.col("yolo_id").isin(9, 11) & (F.col("row_idx") % 211 != 0)
-    return V.detections(spark, sf).withColumn("yolo_id", F.when(equipment, 2).otherwise(F.col("yolo_id")))
+_PERSONS = "pc AS (SELECT country, time_of_day AS condition, count(DISTINCT (video_id, start_time, unique_id)) AS persons FROM detections JOIN segments USING (video_id, start_time) WHERE yolo_id = 0 AND unique_id IS NOT NULL GROUP BY ALL)"
+_SHARE = "p AS (SELECT video_id, start_time, count(*) FILTER (equipped) AS a, count(*) FILTER (NOT equipped) AS b FROM equipped GROUP BY ALL), g AS (SELECT country, time_of_day AS condition, sum(a * 60.0::DOUBLE / duration) AS a, sum(b * 60.0::DOUBLE / duration) AS b FROM p JOIN segments USING (video_id, start_time) GROUP BY ALL) SELECT country, condition, round(100 * b / (a + b), 9) AS without_light_pct FROM g WHERE a + b <> 0"
 
 
 @query("EVT9", _with(*_BASE, _EQ_ANY, _BY_CONDITION) + "SELECT * FROM eqc")
 def evt9(spark, sf):
-    return E.equipment_by_condition(E.crossings_with_equipment(_rare(spark, sf), _crossed(spark, sf)), V.segments(spark, sf))
+    return E.equipment_by_condition(E.crossings_with_equipment(V.detections(spark, sf), _shapes(spark, sf)), V.segments(spark, sf))
 
 
 @query("JN3", _with(*_BASE, _EQ_ANY) + "SELECT * FROM equipped")
 def jn3(spark, sf):
-    return E.crossings_with_equipment(_rare(spark, sf), _crossed(spark, sf))
+    return E.crossings_with_equipment(V.detections(spark, sf), _shapes(spark, sf))
 
 
-@query("EVT10", _with(*_BASE, _EQ_LIGHT) + ", p AS (SELECT video_id, start_time, count(*) FILTER (equipped) AS a, count(*) FILTER (NOT equipped) AS b FROM equipped GROUP BY ALL), g AS (SELECT country, time_of_day AS condition, sum(a * 60.0::DOUBLE / duration) AS a, sum(b * 60.0::DOUBLE / duration) AS b FROM p JOIN segments USING (video_id, start_time) GROUP BY ALL) SELECT country, condition, round(100 * b / (a + b), 9) AS without_light_pct FROM g WHERE a + b <> 0")
+@query("EVT10", _with(*_BASE, _EQ_LIGHT) + ", " + _SHARE)
 def evt10(spark, sf):
-    return E.light_share(_rare(spark, sf), _crossed(spark, sf), V.segments(spark, sf)).withColumn("without_light_pct", F.round("without_light_pct", 9))
+    return E.light_share(V.detections(spark, sf), _shapes(spark, sf), V.segments(spark, sf)).withColumn("without_light_pct", F.round("without_light_pct", 9))
 
 
-@query("EVT11", _with(*_BASE, _EQ_ANY, _BY_CONDITION) + ", pc AS (SELECT country, time_of_day AS condition, count(DISTINCT (video_id, start_time, unique_id)) AS persons FROM detections JOIN segments USING (video_id, start_time) WHERE yolo_id = 0 AND unique_id IS NOT NULL GROUP BY ALL) SELECT country, condition, with_equipment * 60.0::DOUBLE / seconds / persons AS with_rate, without_equipment * 60.0::DOUBLE / seconds / persons AS without_rate FROM eqc JOIN pc USING (country, condition)")
+@query("EVT11", _with(*_BASE, _EQ_ANY, _BY_CONDITION, _PERSONS) + "SELECT country, condition, with_equipment * 60.0::DOUBLE / seconds / persons AS with_rate, without_equipment * 60.0::DOUBLE / seconds / persons AS without_rate FROM eqc JOIN pc USING (country, condition)")
 def evt11(spark, sf):
-    counts = evt9(spark, sf)
-    people = V.detections(spark, sf).where("yolo_id = 0 and unique_id is not null").select(*E.TRACK).distinct().join(F.broadcast(V.segments(spark, sf)), E.SEGMENT)
-    return E.per_minute_and_person(counts, people.groupBy("country", F.col("time_of_day").alias("condition")).agg(F.count("*").alias("persons")))
+    people = V.detections(spark, sf).where("yolo_id = 0 and unique_id is not null").select(*E.TRACK).distinct().join(V.segments(spark, sf), E.SEGMENT)
+    return E.per_minute_and_person(evt9(spark, sf), people.groupBy("country", F.col("time_of_day").alias("condition")).agg(F.count("*").alias("persons")))
+
+
+# the events have equipment in every stretch; beside the queries above, the same on equipment so rare that crossings without it occur
+_SELDOM = "seldom AS (SELECT * FROM detections WHERE yolo_id NOT IN (9, 11) OR row_idx % 211 = 0)"
+
+
+def _seldom(spark, sf):
+    return V.detections(spark, sf).where("yolo_id not in (9, 11) or row_idx % 211 = 0")
+
+
+@query("JN3_seldom", _with(*_BASE, _SELDOM, _EQUIPPED.format(source="seldom", codes="9, 11")) + "SELECT * FROM equipped")
+def jn3_seldom(spark, sf):
+    return E.crossings_with_equipment(_seldom(spark, sf), _shapes(spark, sf))
+
+
+@query("EVT10_seldom", _with(*_BASE, _SELDOM, _EQUIPPED.format(source="seldom", codes="9")) + ", " + _SHARE)
+def evt10_seldom(spark, sf):
+    return E.light_share(_seldom(spark, sf), _shapes(spark, sf), V.segments(spark, sf)).withColumn("without_light_pct", F.round("without_light_pct", 9))
 
 
 @query("EVT12", _with(*_BASE) + "SELECT country, time_of_day AS condition, coalesce(sum(n), 0)::BIGINT AS crossings FROM segments LEFT JOIN (SELECT video_id, start_time, count(*) AS n FROM crossed GROUP BY ALL) c USING (video_id, start_time) GROUP BY ALL")
@@ -419,9 +434,9 @@ def win6(spark, sf):
     return G.traffic(V.detections(spark, sf), V.segments(spark, sf), G.traffic_classes(car=True, fix_known_defects=True), fix_known_defects=True).withColumn("traffic", F.round("traffic", 9))
 
 
-@query("AGG5", _with(V.DETECTIONS, V.SEGMENTS, _RATES.format(codes="9, 11")) + "SELECT country, condition, round(CASE WHEN max(k) = 1 THEN max(rate) ELSE sum(rate) FILTER (i > 1) / (3 * (max(k) - 1)) END, 9) AS traffic_signs FROM ordered GROUP BY ALL")
+@query("AGG5", _with(V.DETECTIONS, V.SEGMENTS, _CROSSED, _RATES.format(codes="9, 11")) + ", l AS (SELECT max_by(n, (video_id, start_time)) AS last FROM (SELECT video_id, start_time, count(*) AS n FROM crossed GROUP BY ALL)) SELECT country, condition, round(CASE WHEN max(k) = 1 THEN max(rate) ELSE sum(rate) FILTER (i > 1) / (max(last) * (max(k) - 1)) END, 9) AS traffic_signs FROM ordered, l GROUP BY ALL")
 def agg5(spark, sf):
-    return G.traffic_signs(V.detections(spark, sf), V.segments(spark, sf), last_crossings=3).withColumn("traffic_signs", F.round("traffic_signs", 9))
+    return G.traffic_signs(V.detections(spark, sf), V.segments(spark, sf), G.last_crossings(E.crossing_counts(_crossed(spark, sf)))).withColumn("traffic_signs", F.round("traffic_signs", 9))
 
 
 _PHONES = "phones AS (SELECT * REPLACE (CASE WHEN yolo_id = 3 THEN 67 ELSE yolo_id END AS yolo_id) FROM detections)"
@@ -572,7 +587,7 @@ def sta10(spark, sf):
 @query("JN1", _with(V.DETECTIONS, V.SEGMENTS) + "SELECT detections.row_idx, country, time_of_day AS condition FROM detections JOIN segments USING (video_id, start_time)")
 def jn1(spark, sf):
     where = V.segments(spark, sf).select("video_id", "start_time", "country", F.col("time_of_day").alias("condition"))
-    return V.detections(spark, sf).join(F.broadcast(where), E.SEGMENT).select("row_idx", "country", "condition")
+    return V.detections(spark, sf).join(where, E.SEGMENT).select("row_idx", "country", "condition")
 
 
 @query("JN2", _with(V.DETECTIONS, _CROSSED) + "SELECT row_idx FROM detections SEMI JOIN crossed USING (video_id, start_time, unique_id)")
@@ -891,7 +906,7 @@ def plt5(spark, sf):
 
 @query("PLT6", _with(*_BASE, _EQ_LIGHT, _BY_CONDITION) + "SELECT country, coalesce(max(with_equipment) FILTER (condition = 0), 0)::DOUBLE AS with_day, coalesce(max(with_equipment) FILTER (condition = 1), 0)::DOUBLE AS with_night FROM eqc GROUP BY country")
 def plt6(spark, sf):
-    lights = E.equipment_by_condition(E.crossings_with_equipment(_rare(spark, sf), _crossed(spark, sf), (9,)), V.segments(spark, sf))
+    lights = E.equipment_by_condition(E.crossings_with_equipment(V.detections(spark, sf), _shapes(spark, sf), (9,)), V.segments(spark, sf))
     countries = lights.select("country").distinct()
     wide = R.write_back(countries, lights.withColumn("v", F.col("with_equipment").cast("double")), "v", "with")
     return wide.select("country", "with_day", "with_night")
@@ -923,3 +938,6 @@ def plt8(spark, sf):
 @query("PLT9", "SELECT CASE WHEN o_totalprice < 0 THEN 0 WHEN o_totalprice >= 500000 THEN 21 ELSE floor(o_totalprice / 25000)::INT + 1 END::BIGINT AS bin, count(*) AS n FROM orders GROUP BY ALL")
 def plt9(spark, sf):
     return plots.hist(V.table(spark, sf, "orders"), ["o_totalprice"], 20, 0, 500_000)
+
+
+from kerbline.plans import files as _files  # noqa: E402, F401  registers the queries that go through files; it needs what stands above

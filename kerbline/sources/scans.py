@@ -43,12 +43,19 @@ def scan_detections(spark: SparkSession, folders: Sequence[str], mapping: DataFr
     stem = F.regexp_replace("_file", r"\.csv$", "")
     rows = rows.select("*", segment_of_stem(stem).alias("_s")).select("*", "_s.video_id", "_s.start_time").where("start_time is not null")
     wanted = allowed_videos(mapping, countries)
-    rows = rows.join(F.broadcast(wanted), "video_id", "left_semi")
-    winner = rows.groupBy("video_id", "start_time").agg(F.max("_rank").alias("_rank"))
-    rows = rows.join(winner, ["video_id", "start_time", "_rank"], "left_semi")
+    rows = rows.join(wanted, "video_id", "left_semi").join(_last_files(spark, found), ["_file", "_rank"], "left_semi")
     return rows.select("video_id", "start_time", "row_idx", "yolo_id", "x", "y", "width", "height", F.col("unique_id").cast("long").alias("unique_id"), "frame_count")
 
 
+def _last_files(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
+    """_file and _rank, the number of the last folder that has a file of this name; from the listings, no file is read."""
+    names = None
+    for rank, folder in enumerate(folders):
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("_file"), F.lit(rank).alias("_rank"))
+        names = listed if names is None else names.unionByName(listed)
+    return names.groupBy("_file").agg(F.max("_rank").alias("_rank"))
+
+
 def allowed_videos(mapping: DataFrame, countries: Sequence[str] = ()) -> DataFrame:
     """video_id of every video whose first mapping row is of an allowed country; mapping has row_idx."""
     videos = mapping.select("row_idx", "iso3", F.explode(parse_videos(F.col("videos"))).alias("video_id"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def append_detections(rows: DataFrame, path: str) -> None:
-    """Append to a detections table, one folder for each video so that scans prune."""
-    rows.write.mode("append").partitionBy("video_id").parquet(path)
+def append_detections(rows: DataFrame, path: str, buckets: int = 256) -> None:
+    """Append to a detections table, in as many folders as ``buckets`` (by a hash of the video), however many videos there are."""
+    bucket = F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int")
+    rows.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -22,16 +22,24 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-def trails(rows: DataFrame, points: int = 30) -> DataFrame:
-    """The last positions of a track after each batch; a track's state is at most ``points`` positions."""
+def trails(rows: DataFrame, points: int = 30, idle_ms: int = 600_000) -> DataFrame:
+    """The last positions of a track of a segment after each batch.
+
+    A track's state is at most ``points`` positions, and is dropped when nothing came for ``idle_ms``; a track
+    that goes on after that begins anew.
+    """
 
     def update(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         xs, ys = map(list, state.get) if state.exists else ([], [])
         for frame in frames:
             frame = frame.sort_values("row_idx")
             xs, ys = (xs + frame["x"].tolist())[-points:], (ys + frame["y"].tolist())[-points:]
         state.update((xs, ys))
-        yield pd.DataFrame({"video_id": [key[0]], "unique_id": [key[1]], "xs": [xs], "ys": [ys]})
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"video_id": [key[0]], "start_time": [key[1]], "unique_id": [key[2]], "xs": [xs], "ys": [ys]})
 
-    grouped = rows.where("unique_id is not null").groupBy("video_id", "unique_id")
-    return grouped.applyInPandasWithState(update, "video_id string, unique_id long, xs array<double>, ys array<double>", "xs array<double>, ys array<double>", "update", GroupStateTimeout.NoTimeout)
+    grouped = rows.where("unique_id is not null").groupBy("video_id", "start_time", "unique_id")
+    return grouped.applyInPandasWithState(update, "video_id string, start_time int, unique_id long, xs array<double>, ys array<double>", "xs array<double>, ys array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout)

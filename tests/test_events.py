@@ -48,7 +48,7 @@ def test_crossings_and_their_time(spark):
         if k in crossed:
             xs = [r[4] for r in t]
             want[k] = (abs(xs.index(min(xs)) - xs.index(max(xs))) + 1) / fps[k[0]]
-    assert {(r["video_id"], r["unique_id"]): r["crossing_time_s"] for r in E.crossing_times(det, got, seg).collect()} == pytest.approx(want)
+    assert {(r["video_id"], r["unique_id"]): r["crossing_time_s"] for r in E.crossing_times(E.track_shapes(det, 0.3, 0.6), seg).collect()} == pytest.approx(want)
     speeds = {}
     for k, t in by_track(rows).items():
         h = sum(r[6] for r in t) / len(t)
@@ -56,7 +56,7 @@ def test_crossings_and_their_time(spark):
             v = (max(r[4] for r in t) - min(r[4] for r in t)) / (h / 170) / want[k] / 100
             if v <= 1.42:
                 speeds[k] = v
-    assert {(r["video_id"], r["unique_id"]): r["speed"] for r in E.crossing_speeds(det, E.crossing_times(det, got, seg), seg).collect()} == pytest.approx(speeds)
+    assert {(r["video_id"], r["unique_id"]): r["speed"] for r in E.crossing_speeds(E.crossing_times(E.track_shapes(det, 0.3, 0.6), seg)).collect()} == pytest.approx(speeds)
 
 
 def hesitation(xs, hs, fps):
@@ -93,8 +93,11 @@ def test_equipment_between_first_and_last_row(spark):
     rows = [r[:3] + (0 if r[3] == 9 and r[2] % 5 else r[3],) + r[4:] for r in tracks(4, 40, 30)]
     random.Random(4).shuffle(rows)
     det, _ = frames(spark, rows)
-    crossed = E.crossings(det, 1.0, 0.0)
+    crossed = E.track_shapes(det, 1.0, 0.0)
     got = {(r["video_id"], r["unique_id"]): r["equipped"] for r in E.crossings_with_equipment(det, crossed, (9,)).collect()}
+    reduced = G.class_tracks(det)
+    assert got == {(r["video_id"], r["unique_id"]): r["equipped"] for r in E.crossings_with_equipment(reduced, crossed, (9,)).collect()}
+    assert sorted(map(str, G.object_counts(det).collect())) == sorted(map(str, G.object_counts(reduced).collect()))
     for k, t in by_track(rows).items():
         if k in got:
             a, b = min(r[2] for r in t), max(r[2] for r in t)
@@ -126,5 +129,22 @@ def test_null_ids_and_empty_input(spark):
     assert G.segment_rates(det, seg, (2,)).collect()[0]["n"] == 2  # no id counts as one
     assert G.segment_rates(det, seg, (2,), fix_known_defects=True).collect()[0]["n"] == 1
     empty = det.where("false")
-    assert E.crossing_times(empty, E.crossings(empty), seg).collect() == []
+    assert E.crossing_times(E.track_shapes(empty), seg).collect() == []
     assert E.hesitation_times(empty, seg).collect() == []
+
+
+def scans(df):
+    """How often the optimised plan reads a file source."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_one_pass_over_the_detections(spark, tmp_path):
+    rows = tracks(7, 30, 40)
+    det, seg = frames(spark, rows)
+    det.write.parquet(str(tmp_path / "det"))
+    stored = spark.read.parquet(str(tmp_path / "det"))
+    times = E.crossing_times(E.track_shapes(stored), seg)
+    assert scans(E.mean_by_condition(E.crossing_speeds(times), "speed", "speed")) == 1
+    assert scans(G.object_counts(stored)) == 1
+    plan = G.object_counts(stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan

@@ -1,6 +1,7 @@
 """Sources, sinks, streaming and the batch plan on small files."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,23 +92,28 @@ def test_sinks_and_results(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    rows = [("v", k, k / 100, 0.5, 1 if k % 2 else None) for k in range(100)]
-    df = spark.createDataFrame(rows, "video_id string, row_idx long, x double, y double, unique_id long")
+    rows = [("v", 0, k, k / 100, 0.5, 1 if k % 2 else None) for k in range(100)] + [("v", 60, 200, 0.9, 0.5, 1)]
+    df = spark.createDataFrame(rows, "video_id string, start_time int, row_idx long, x double, y double, unique_id long")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = ingest.stream_detections(spark, str(tmp_path / "in"), df.schema)
     ingest.append_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 101
     q = ingest.trails(stream).writeStream.format("memory").queryName("trails").outputMode("update").start()
-    q.processAllAvailable()
+    ends = time.time() + 60
+    while not (got := spark.sql("select * from trails").collect()) and time.time() < ends:  # it goes on as long as a track may time out
+        time.sleep(1)
     q.stop()
-    got = spark.sql("select * from trails").collect()
-    assert len(got) == 1 and got[0]["xs"] == [k / 100 for k in range(100) if k % 2][-30:]
+    assert {r["start_time"]: r["xs"] for r in got} == {0: [k / 100 for k in range(100) if k % 2][-30:], 60: [0.9]}
 
 
 def test_batch(spark, small_sf):
     det = V.detections(spark, small_sf)
     mapping = V.mapping(spark, small_sf).withColumn("population_city", F.lit(1.0))
     found = batch.analyse(det, mapping)
+    assert "events" not in found["countries"]._jdf.queryExecution().optimizedPlan().toString()  # the detections were read before
+    assert found["traffic_signs"].count() > 0 and {"t0", "t1"} <= set(found["clips"].columns)
+    few = batch.analyse(det, mapping, scans.Config(countries_analyse=("AFR",)))
+    assert {r["iso3"] for r in few["countries"].collect()} == {"AFR"}
     countries = found["countries"].collect()
     assert len(countries) == V.mapping(spark, small_sf).where("iso3 is not null").select("iso3").distinct().count()
     assert len(countries[0]) == 43
@@ -143,6 +149,17 @@ def test_thin_labels_against_all_pairs(spark):
     assert one["nn_distance"] == float("inf")
 
 
+def test_places_screenshots_and_bars_without_numbers(spark):
+    rows = spark.createDataFrame([(1, "A", None, "X", None, 1.0), (2, "B", "S", "X", 3.0, 4.0), (3, "C", "nan", "Y", float("nan"), 2.0), (4, "D", None, "Z", None, None)], "id int, city string, state string, country string, lat double, lon double")
+    places = spark.createDataFrame([("A", None, "X", 5.0, 6.0), ("C", None, "Y", 7.0, 8.0), ("B", "S", "X", 0.0, 0.0)], "city string, state string, country string, lat double, lon double")
+    got = {r["id"]: (r["lat"], r["lon"]) for r in M.locate(rows, places).collect()}
+    assert got == {1: (5.0, 6.0), 2: (3.0, 4.0), 3: (7.0, 8.0), 4: (None, None)}
+    files = spark.createDataFrame([("a.png",), ("A.jpg",), ("d.x.png",), ("c.png",)], "file string")
+    assert {r["id"]: r["file"] for r in M.screenshot_of(rows, files).collect()} == {1: "A.jpg", 3: "c.png"}
+    bars = spark.createDataFrame([("P", 0, float("nan")), ("P", 1, 0.5), ("Q", 0, float("nan")), ("R", 0, 0.3)], "country string, condition int, speed double")
+    assert [(r["country"], r["day"], r["night"]) for r in plots.stacked_bars(bars, "speed", "average").orderBy("place").collect()] == [("P", None, 0.5), ("R", 0.3, None)]
+
+
 def test_plot_arguments(spark):
     with pytest.raises(ValueError):
         plots.stacked_bars(spark.range(1), "height")

@@ -12,8 +12,8 @@ def con(small_sf):
     return connect(small_sf)
 
 
-def test_every_query_has_sql():
-    assert QUERIES.keys() == ORACLE.keys()
+def test_every_query_has_sql():  # but one that goes label by label
+    assert QUERIES.keys() - ORACLE.keys() == {"SCL24"}
 
 
 @pytest.mark.parametrize("name", list(ORACLE))
