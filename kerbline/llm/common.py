@@ -39,7 +39,21 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stage`` wrote for this table, once nothing will read it any more; other tables are left alone."""
+    at = df.__dict__.pop("staged_at", None)
+    if at:
+        _delete(df.sparkSession, at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -56,9 +70,7 @@ def release(spark: SparkSession) -> None:
 
 def discard_stages(spark: SparkSession) -> None:
     """Delete what this application staged; call it once results are written."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    path = hadoop(f"{shared_root(spark)}/kerbline/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_root(spark)}/kerbline/{spark.sparkContext.applicationId}")
 
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:

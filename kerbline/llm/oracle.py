@@ -59,4 +59,18 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM r GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op1_mixing": OP1, "op3_warc": OP3, "op7_chat": OP7}
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP10 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, w, least(10, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+items AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - k + 1)) AS i FROM b)),
+places AS (SELECT r, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM b) WHERE len(w) >= k),
+hits AS (SELECT p.r, p.i, p.k, item FROM (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM places) p JOIN items USING (k, g)),
+words AS (SELECT r, count(DISTINCT place)::BIGINT AS n_hit FROM (SELECT DISTINCT r, unnest(generate_series(i, i + k - 1)) AS place FROM hits) GROUP BY r),
+found AS (SELECT r, count(*)::BIGINT AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op1_mixing": OP1, "op3_warc": OP3, "op7_chat": OP7, "op10_decontam": OP10}

@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
-def several_fingerprints(rows: DataFrame, words: int, prints: int, seed: int = 42, remembered: int = 50_000) -> DataFrame:
+def several_fingerprints(rows: DataFrame, words: int, prints: int, seed: int = 42, remembered: int = 10_000) -> DataFrame:
     """The columns of ``rows`` but ``text``, and ``fps``, as many independent fingerprints, ``size``, the number of
     different shingles, and ``odd``, for each of 256 ranges of their values whether it has an odd number of them.
     rows: ``_key`` of the text, ``text``."""
@@ -104,7 +104,7 @@ def several_fingerprints(rows: DataFrame, words: int, prints: int, seed: int = 4
     salts = mix64(np.arange(1, prints, dtype=np.uint64))[:, None]  # the first fingerprint is the plain one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[np.ndarray, int, np.ndarray]] = {}
+        known: dict[int, tuple[np.ndarray, int, np.ndarray]] = {}  # of repeated texts
         for b in batches:
             out = []
             for key, text in zip(b.column("_key").to_pylist(), b.column("text").to_pylist(), strict=True):
