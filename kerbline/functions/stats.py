@@ -58,26 +58,41 @@ def _grid_level(points: DataFrame, left: DataFrame, key: str, cells: int) -> Dat
     return met.groupBy(key, "_x", "_y", "_ax", "_ay", "side", "_s").agg(F.min(far).alias("d"))
 
 
-def thin_labels(points: DataFrame, key: str, x: str, y: str, factor: float = 1.0, grids: Sequence[int] = (64, 8, 1)) -> DataFrame:
+def _grids(n: int) -> list[int]:
+    """Cells along a side, from well below one point a cell to the whole, by steps of eight."""
+    finest = 1
+    while finest * finest < 64 * n:
+        finest *= 8
+    return [finest >> k for k in range(0, finest.bit_length(), 3)]
+
+
+def thin_labels(points: DataFrame, key: str, x: str, y: str, factor: float = 1.0, grids: Sequence[int] | None = None) -> DataFrame:
     """Distance to the nearest other point, and whether it exceeds the mean distance by the factor.
 
-    Points are binned to a grid and meet those of their own and the adjoining cells by an
+    Places that several points share have distance 0. The different places are binned to a grid, so fine that most
+    cells are empty (``_grids`` of their number), and meet those of their own and the adjoining cells by an
     equi-join; a hit within a cell's side is proven nearest. The others go on to a
-    coarser grid. They lie apart by more than a cell's side, so they are at most a few for
-    each coarser cell, and a level costs no more than a few times the points. One point
+    coarser grid. They lie apart by more than a cell's side, so they are at most 64 for
+    each coarser cell, and a level costs no more than a few times the places. One point
     alone is infinitely far.
     """
-    box = points.agg(F.min(x).cast("double").alias("_ax"), F.min(y).cast("double").alias("_ay"), F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y)).cast("double").alias("side"))
-    rows = points.select(key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).crossJoin(F.broadcast(box))  # box is one row
-    left, nearest = rows, None
+    spot = points.select(key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    places = spot.groupBy("_x", "_y").agg(F.count("*").alias("_n"))
+    if grids is None:
+        grids = _grids(places.count())
+    box = places.agg(F.min("_x").alias("_ax"), F.min("_y").alias("_ay"), F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y")).alias("side"))
+    rows = places.select(F.struct("_x", "_y").alias("_p"), "_x", "_y", "_n").crossJoin(F.broadcast(box))  # box is one row
+    left, nearest = rows.where("_n = 1").drop("_n"), rows.where("_n > 1").select("_p", F.lit(0.0).alias("d"))
+    every = rows.drop("_n")
     for cells in grids:
-        met = _grid_level(rows, left, key, cells)
-        sure = met.select(key, "d") if cells == grids[-1] else met.where("d <= _s").select(key, "d")
-        nearest = sure if nearest is None else nearest.unionByName(sure)
+        met = _grid_level(every, left, "_p", cells)
+        sure = met.select("_p", "d") if cells == grids[-1] else met.where("d <= _s").select("_p", "d")
+        nearest = nearest.unionByName(sure)
         left = met.where("d is null or d > _s").drop("_s", "d")
-    nearest = nearest.withColumn("d", F.coalesce("d", F.lit(float("inf"))))
-    mean = nearest.agg((F.avg("d") * factor).alias("_m"))
-    return points.join(nearest.crossJoin(F.broadcast(mean)).select(key, F.col("d").alias("nn_distance"), (F.col("d") > F.col("_m")).alias("labelled")), key)
+    found = nearest.select(F.col("_p._x").alias("_u"), F.col("_p._y").alias("_v"), F.coalesce("d", F.lit(float("inf"))).alias("d"))
+    each = spot.join(found, (F.col("_x") == F.col("_u")) & (F.col("_y") == F.col("_v"))).select(key, "d")
+    mean = each.agg((F.avg("d") * factor).alias("_m"))
+    return points.join(each.crossJoin(F.broadcast(mean)).select(key, F.col("d").alias("nn_distance"), (F.col("d") > F.col("_m")).alias("labelled")), key)
 
 
 def trend(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:

@@ -448,16 +448,24 @@ def agg6(spark, sf):
     return G.cell_phones(G.object_counts(seen), V.segments(spark, sf)).withColumn("cell_phones", F.round("cell_phones", 9))
 
 
-_ROLL = dict(first=("country", "continent", "literacy_rate", "gini", "traffic_index"), lists=("videos", "upload_date"), sums=("traffic_mortality",), means=("gini_mean", "lat"))
+# counts and means that the mapping has not, nulls among them: each column's by its place
+_MADE_SUMS = {c: f"CASE WHEN row_idx % 5 <> {j % 5} THEN row_idx * {j + 1} % 17 END" for j, c in enumerate(R.SUMS)}
+_MADE_MEANS = {c: f"CASE WHEN row_idx % 3 <> {j % 3} THEN row_idx * 0.25 + {j} END" for j, c in enumerate(R.MEANS)}
+_ROLLED = ", ".join(
+    [f"min_by({c}, row_idx) FILTER ({c} IS NOT NULL) AS {c}" for c in R.FIRST]
+    + [f"string_agg(coalesce({c}, '-'), '|' ORDER BY row_idx) AS {c}" for c in R.LISTS]
+    + [f"coalesce(sum({sql}), 0)::BIGINT AS {c}" for c, sql in _MADE_SUMS.items()]
+    + [f"round(avg(({sql})::DOUBLE), 9) AS {c}" for c, sql in _MADE_MEANS.items()]
+)
 
 
-@query("AGG7", _with(V.MAPPING) + """SELECT iso3, min_by(country, row_idx) AS country, min_by(continent, row_idx) AS continent, min_by(literacy_rate, row_idx) FILTER (literacy_rate IS NOT NULL) AS literacy_rate,
-  min_by(gini, row_idx) FILTER (gini IS NOT NULL) AS gini, min_by(traffic_index, row_idx) AS traffic_index, string_agg(videos, '|' ORDER BY row_idx) AS videos, string_agg(coalesce(upload_date, '-'), '|' ORDER BY row_idx) AS upload_date,
-  coalesce(sum(traffic_mortality), 0) AS traffic_mortality, round(avg(gini), 9) AS gini_mean, round(avg(lat), 9) AS lat FROM mapping WHERE iso3 IS NOT NULL GROUP BY iso3""")
+@query("AGG7", _with(V.MAPPING) + f"SELECT iso3, {_ROLLED} FROM mapping WHERE iso3 IS NOT NULL GROUP BY iso3")
 def agg7(spark, sf):
-    rows = R.roll_up(V.mapping(spark, sf).withColumn("gini_mean", F.col("gini")), **_ROLL)
-    joined = lambda c: F.array_join(c, "|", "-")
-    return rows.withColumns({"videos": joined("videos"), "upload_date": joined("upload_date"), "gini_mean": F.round("gini_mean", 9), "lat": F.round("lat", 9)})
+    """The whole country table: 8 first values, 7 lists, 11 sums and 16 means beside the code."""
+    rows = V.mapping(spark, sf).withColumns({c: F.expr(sql) for c, sql in _MADE_SUMS.items()} | {c: F.expr(f"cast({sql} as double)") for c, sql in _MADE_MEANS.items()})
+    out = R.roll_up(rows)
+    joined = {c: F.array_join(c, "|", "-") for c in R.LISTS}
+    return out.withColumns(joined | {c: F.round(c, 9) for c in R.MEANS} | {c: F.col(c).cast("long") for c in R.SUMS})
 
 
 @query("AGG8", "SELECT c_nationkey, c_custkey, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) = 1")

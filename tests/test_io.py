@@ -145,6 +145,7 @@ def test_thin_labels_against_all_pairs(spark):
     got = {r["k"]: r["nn_distance"] for r in T.thin_labels(spark.createDataFrame(pts, "k int, x double, y double"), "k", "x", "y").collect()}
     for k, x, y in pts:
         assert got[k] == pytest.approx(min(((x - a) ** 2 + (y - b) ** 2) ** 0.5 for j, a, b in pts if j != k))
+    assert T._grids(1) == [8, 1] and T._grids(10**6) == [32768, 4096, 512, 64, 8, 1]
     one = T.thin_labels(spark.createDataFrame([(1, 1.0, 2.0)], "k int, x double, y double"), "k", "x", "y").first()
     assert one["nn_distance"] == float("inf")
 
