@@ -13,17 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import stage
+from kerbline.llm.common import discard, stage
 
 
-def _compress(forest: DataFrame) -> DataFrame:
+def _compress(hooks: DataFrame) -> DataFrame:
     """(x, r): r becomes the root of x; parents are smaller than children, so there is no cycle."""
+    held, forest = hooks, hooks
     while True:
         up = forest.select(F.col("x").alias("_x"), F.col("r").alias("_r"))
         jumped = stage(forest.join(up, F.col("r") == F.col("_x"), "left").select("x", F.coalesce("_r", "r").alias("r"), F.col("_r").isNotNull().alias("moved")), "cc-jump")
-        forest = jumped.select("x", "r")
+        discard(held)
+        held, forest = jumped, jumped.select("x", "r")
         if jumped.where("moved").isEmpty():
-            return forest
+            return jumped
 
 
 def _relabel(df: DataFrame, name: str, roots: DataFrame) -> DataFrame:
@@ -42,9 +44,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = stage(edges.where("a <> b").distinct(), "cc-edges")
     labels = edges.sparkSession.createDataFrame([], "node long, root long")
     while not edges.isEmpty():
-        roots = _compress(stage(edges.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("r")), "cc-hooks"))
+        held = _compress(stage(edges.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("r")), "cc-hooks"))
+        roots, before = held.select("x", "r"), (labels, edges)
         labels = _relabel(labels, "root", roots).unionByName(roots.select(F.col("x").alias("node"), F.col("r").alias("root")))
         labels = stage(labels, "cc-labels")
         moved = _relabel(_relabel(edges, "a", roots), "b", roots).where("a <> b")
         edges = stage(moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
+        for old in (*before, held):
+            discard(old)
+    discard(edges)
     return labels

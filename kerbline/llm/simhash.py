@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import free_name, mix64, release, row_hash, stage
+from kerbline.llm.common import discard, free_name, mix64, release, row_hash, stage
 from kerbline.llm.components import connected_components
 from kerbline.llm.jaccard import shingle_sets, similar, text_key
 
@@ -329,23 +329,30 @@ def similar_classes(texts: DataFrame, docs: DataFrame, words: int = 5, least: fl
     """
     spark = texts.sparkSession
     n, together = bit_statistics(texts, prints)
-    links = spark.createDataFrame([], "a long, b long")
     if not n:
-        return links.toDF("node", "root")
+        return spark.createDataFrame([], "node long, root long")
     parts = Parts([plan(n, t, distance) for t in together], ("size", "odd"))
     can = may_reach(least)
     met = stage(star_links(_rooted(texts, None), parts, distance, can).distinct(), "near-stars")
-    labels = connected_components(stage(similar(met, shingle_sets(docs, met, words), least), "near-links"))
+    sets = shingle_sets(docs, met, words)
+    links = stage(similar(met, sets, least), "near-links")
+    labels = connected_components(links)
     rooted = _rooted(texts, labels)
-    pairs, most = links, prints if n <= 10_000 else 1  # only the disk at once depends on it
+    found, most = [], prints if n <= 10_000 else 1  # only the disk at once depends on it
     for first in range(0, prints, most):
         near = [probe_links(rooted, parts.of(k), distance, can) for k in range(first, min(prints, first + most))]
-        pairs = pairs.unionByName(stage(reduce(DataFrame.unionByName, near), "near-pairs"))
+        found.append(stage(reduce(DataFrame.unionByName, near), "near-pairs"))
         if most < prints:
             release(spark)
-    pairs = stage(pairs.distinct().join(met, ["a", "b"], "left_anti"), "near-new")
-    links = similar(pairs, shingle_sets(docs, pairs, words), least)
-    return connected_components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    pairs = stage(reduce(DataFrame.unionByName, found).distinct().join(met, ["a", "b"], "left_anti"), "near-new")
+    for old in (sets, links, rooted, met, *found):
+        discard(old)
+    sets = shingle_sets(docs, pairs, words)
+    more = similar(pairs, sets, least).unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    merged = connected_components(more)
+    for old in (pairs, sets, labels):
+        discard(old)
+    return merged
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
@@ -374,6 +381,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, di
     named = rows.select("doc_id", "_key", "_one", "_two").join(labels, F.col("_key") == F.col("node"), "left")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_one", "_two"))
     keep = stage(named.groupBy(F.coalesce("root", "_key").alias("root")).agg(first.alias("x")).select("x._one", "x._two"), "near-kept")
+    for old in (rows, texts, labels):
+        discard(old)
     mark = [free_name(docs, "_mark1"), free_name(docs, "_mark2")]
     one_, two_ = free_name(docs, "_one"), free_name(docs, "_two")
     keep = keep.select(F.col("_one").alias(one_), F.col("_two").alias(two_))
