@@ -23,24 +23,36 @@ from pyspark.sql import DataFrame, SparkSession
 from kerbline.llm import decontam, langid, mixing, quality, simhash
 from kerbline.llm.common import discard, stage
 
+#: Rows handed to a Python worker at once: their texts, and what is made of them, lie in its memory together.
+BATCH_ROWS = 2000
 #: A language must be this sure, a text this good (as the quality query predicts 1).
 LEAST_LANGUAGE, LEAST_QUALITY = 0.5, 0.7
 
 
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return langid.keep_confident(docs, langid.fit(docs), LEAST_LANGUAGE)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.fit(docs, labels), LEAST_QUALITY)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return decontam.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
