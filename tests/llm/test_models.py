@@ -174,9 +174,13 @@ def slow_forward(unit, ids, probs, unknown):
     return math.log(total[-1])
 
 
-def test_every_language_score_of_the_table_by_its_definition(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    model = langid.fit(docs)
+@pytest.fixture(scope="module")
+def languages(spark, sf):
+    return langid.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def test_every_language_score_of_the_table_by_its_definition(spark, sf, languages):
+    docs, model = spark.read.parquet(f"{sf}/documents.parquet"), languages
     ids = {p: i for i, p in enumerate(model.pieces.pieces)}
     text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
     known = {}
@@ -192,9 +196,8 @@ def test_every_language_score_of_the_table_by_its_definition(spark, sf):
             assert r["lang_pred"] == model.langs[int(odds.argmax())] and r["score"] == pytest.approx(1 / odds.sum(), rel=1e-6)
 
 
-def test_letters_of_no_learned_language_are_rejected(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    model = langid.fit(docs)
+def test_letters_of_no_learned_language_are_rejected(spark, sf, languages):
+    docs, model = spark.read.parquet(f"{sf}/documents.parquet"), languages
     kept = langid.keep_confident(docs, model).count()
     assert kept >= 0.999 * docs.where("text is not null").count()
     junk = [(1, "xkcd qzrtv wqxz jjkpl vbnmq zzxqw qwrtp " * 20), (2, "слова на другом языке, которого модель не знает " * 10), (3, "日本語の文章です。" * 30)]
