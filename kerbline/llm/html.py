@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,6 +51,8 @@ TITLES = frozenset("header banner masthead".split())
 FRAMED = 4
 
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+_STOP = re.compile("[\"'>]")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
@@ -89,24 +92,54 @@ def _marked(name: str, attrs: str, in_article: int) -> int:
     return found
 
 
-def _markup(page: str, start: int) -> tuple[int, re.Match | None] | None:
-    """The end of the tag, comment or declaration that starts here, and a tag's match; None if it is only a ``<``."""
-    if page.startswith("<!--", start):
-        end = page.find("-->", start + 4)
-        return (len(page) if end < 0 else end + 3), None
-    after = page[start + 1 : start + 2]
-    letter = page[start + 2 : start + 3] if after == "/" else after
-    if after not in ("!", "?", "/") and not (letter.isascii() and letter.isalpha()):
-        return None
-    close = page.find(">", start)
-    if close < 0:
-        return len(page), None  # the end of the page cuts it off
-    if not (letter.isascii() and letter.isalpha()):
-        return close + 1, None
-    m = _TAG.match(page, start + 1)
-    if m is None:  # a quote that nothing closes
-        return close + 1, _TAG.match(page[start + 1 : close].replace('"', " ").replace("'", " ") + ">")
-    return m.end(), m
+class _Scanner:
+    """Finds the ends of markup in a page, in time linear in its length whatever quotes stay open."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.places: list[int] = []  # of quotes and ``>``, and where a tag that has come there ends; filled at the first open quote
+        self.ends: list[int] = []
+
+    def _measure(self) -> None:
+        """The next ``>`` outside quotes from each quote or ``>`` on, or -1; in one pass from the end of the page."""
+        self.places = [m.start() for m in _STOP.finditer(self.page)]
+        self.ends = [-1] * (len(self.places) + 1)
+        later: dict[str, int] = {}
+        for k in range(len(self.places) - 1, -1, -1):
+            mark = self.page[self.places[k]]
+            if mark == ">":
+                self.ends[k] = self.places[k]
+            else:
+                self.ends[k] = self.ends[later[mark] + 1] if mark in later else -1
+                later[mark] = k
+
+    def _tag(self, start: int) -> re.Match | None:
+        if self.ends and self.ends[bisect_left(self.places, _NAME.match(self.page, start).end())] < 0:
+            return None
+        m = _TAG.match(self.page, start)
+        if m is None:
+            self._measure()
+        return m
+
+    def markup(self, start: int) -> tuple[int, re.Match | None] | None:
+        """The end of the tag, comment or declaration that starts here, and a tag's match; None if it is only a ``<``."""
+        page = self.page
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            return (len(page) if end < 0 else end + 3), None
+        after = page[start + 1 : start + 2]
+        letter = page[start + 2 : start + 3] if after == "/" else after
+        if after not in ("!", "?", "/") and not (letter.isascii() and letter.isalpha()):
+            return None
+        close = page.find(">", start)
+        if close < 0:
+            return len(page), None  # the end of the page cuts it off
+        if not (letter.isascii() and letter.isalpha()):
+            return close + 1, None
+        m = self._tag(start + 1)
+        if m is None:  # a quote that nothing closes
+            return close + 1, _TAG.match(page[start + 1 : close].replace('"', " ").replace("'", " ") + ">")
+        return m.end(), m
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
@@ -129,9 +162,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         linked = 0
 
     at, start, n = 0, -1, len(page)
+    scanner = _Scanner(page)
     while at < n:
         start = page.find("<", max(at, start + 1))
-        found = _markup(page, start) if start >= 0 else (n, None)
+        found = scanner.markup(start) if start >= 0 else (n, None)
         if found is None:
             continue
         text = _html.unescape(page[at : start if start >= 0 else n])
