@@ -254,15 +254,15 @@ class Parts:
 
     def index(self, fps: DataFrame) -> DataFrame:
         """k (key of a part), b, root_b, fp_b... of every part; fps: id, root, fps, and those of ``more``."""
-        fp = lambda w: F.element_at("fps", w + 1)
-        own = F.array(*[F.struct(F.xxhash64(F.lit(w), F.lit(bits[0]), fp(w).bitwiseAND(F.lit(_mask(bits)))).alias("k"), fp(w).alias("fp")) for w, bits, _ in self.parts])
-        x = fps.select("id", "root", *self.more, F.explode(own).alias("x"))
-        return x.select("x.k", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("x.fp").alias("fp_b"), *[F.col(c).alias(f"{c}_b") for c in self.more])
+        x = _for_each(fps, [f"named_struct('which', {w}, 'first', {bits[0]}, 'mask', {_mask(bits)}L)" for w, bits, _ in self.parts])
+        x = x.withColumn("fp", F.element_at("fps", F.col("x.which") + 1))
+        key = F.xxhash64("x.which", "x.first", F.col("fp").bitwiseAND(F.col("x.mask")))
+        return x.select(key.alias("k"), F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("fp").alias("fp_b"), *[F.col(c).alias(f"{c}_b") for c in self.more])
 
     def probes(self, fps: DataFrame) -> DataFrame:
         """k, a, root_a, fp_a..., part, flipped: the keys within each part's threshold that a row has to look up."""
         flips = [f"named_struct('part', {k}, 'which', {w}, 'first', {bits[0]}, 'mask', {_mask(bits)}L, 'flip', {_mask(c)}L, 'low', {_mask(c[:1])}L)" for k, (w, bits, t) in enumerate(self.parts) for size in range(t + 1) for c in combinations(bits, size)]
-        x = fps.select("id", "root", "fps", *self.more, F.explode(F.expr(f"array({', '.join(flips)})")).alias("x")).withColumn("fp", F.element_at("fps", F.col("x.which") + 1))
+        x = _for_each(fps, flips).withColumn("fp", F.element_at("fps", F.col("x.which") + 1))
         x = x.where(F.col("fp").bitwiseAND(F.col("x.low")) == 0)
         key = F.xxhash64("x.which", "x.first", F.col("fp").bitwiseAND(F.col("x.mask")).bitwiseXOR(F.col("x.flip")))
         return x.select(key.alias("k"), *[F.col(c).alias(f"{'a' if c == 'id' else c + '_a'}") for c in ("id", "root", "fp", *self.more)], "x.part", (F.col("x.flip") != 0).alias("flipped"))
@@ -278,6 +278,13 @@ class Parts:
         return met
 
 
+def _for_each(fps: DataFrame, structs: list[str]) -> DataFrame:
+    """Every row with each of the structs, as ``x``. What is exploded are their numbers alone: which bits are dealt
+    depends on the data, and must not tell apart the plans of one step over different inputs."""
+    x = fps.withColumn("x", F.explode(F.array(*[F.lit(k + 1) for k in range(len(structs))])))
+    return x.withColumn("x", F.element_at(F.expr(f"array({', '.join(structs)})"), F.col("x")))
+
+
 def _near(distance: int) -> Column:
     return F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= distance
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -94,3 +95,17 @@ def test_odd_rows(docs_of, odd):
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 7] and ids.count(None) == 1
     assert simhash.near_duplicates(docs_of(odd).where(F.lit(False))).collect() == []
+
+
+def test_the_bits_dealt_do_not_tell_apart_the_plans_of_a_step(spark):
+    """A text has a row for each part, and a probe for each value within its threshold, under one name whatever the masks."""
+    fps = spark.createDataFrame([(i, i, [i * 7919 - 50, -i]) for i in range(20)], "id long, root long, fps array<long>")
+    low, high = list(range(32)), list(range(32, 64))
+    generators = []
+    for first, second in ((low, high), (high, low)):
+        parts = simhash.Parts([[(first, 1), (second, 0)]] * 2)
+        index, probes = parts.index(fps), parts.probes(fps)
+        assert index.count() == 20 * 4 and index.distinct().count() == 80
+        plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (index, probes)]
+        generators.append([re.sub(r"#\d+L?|\d+", "", line).strip() for x in plans for line in x.splitlines() if "Generate" in line])
+    assert len(generators[0]) == 2 and generators[0] == generators[1]
