@@ -378,15 +378,15 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, di
 
     Classes are what links of a Jaccard similarity of ``least`` or more between the word shingles reach, whatever the
     ids are; candidates are those within ``distance`` in one of ``prints`` fingerprints. Of rows that
-    share the id, the least by a hash of all columns stays; of equal rows one.
+    share the id, the least by a hash of the text, then of all columns, stays; of equal rows one.
     """
     one, two = row_hash(docs, 1), row_hash(docs, 2)
-    keyed = docs.select(F.col("doc_id"), text_key(F.col("text")).alias("_key"), one.alias("_one"), two.alias("_two"), "text")
+    keyed = docs.select(F.col("doc_id"), text_key(F.col("text")).alias("_key"), F.xxhash64("text").alias("_plain"), one.alias("_one"), two.alias("_two"), "text")
     rows = stage(several_fingerprints(keyed, words, prints), "near-rows")
     texts = stage(rows.groupBy(F.col("_key").alias("id")).agg(*[F.min(c).alias(c) for c in ("fps", "size", "odd")]), "near-texts")
     labels = similar_classes(texts, keyed.select("_key", "text"), words, least, distance, prints)
-    named = rows.select("doc_id", "_key", "_one", "_two").join(labels, F.col("_key") == F.col("node"), "left")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_one", "_two"))
+    named = rows.select("doc_id", "_key", "_plain", "_one", "_two").join(labels, F.col("_key") == F.col("node"), "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_plain", "_one", "_two"))
     keep = stage(named.groupBy(F.coalesce("root", "_key").alias("root")).agg(first.alias("x")).select("x._one", "x._two"), "near-kept")
     for old in (rows, texts, labels):
         discard(old)

@@ -90,6 +90,15 @@ def test_one_row_of_each_class_stays_whatever_its_id(spark, docs_of):
     assert [x[0] for i, x in got if i is None] == ["d"]
 
 
+def test_other_columns_do_not_choose_the_text_that_stays(spark, docs_of):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) + end for c in "efghij" for end in ("", " more", " again")]
+    docs = docs_of([(None, x) for x in texts])
+    kept_texts = lambda df: sorted(r["text"] for r in simhash.drop_near_duplicates(df).collect())
+    got = kept_texts(docs)
+    assert [x[0] for x in got] == list("efghij")
+    assert got == kept_texts(docs.withColumn("lang", F.lit("de")).withColumn("another", F.lit(1)))
+
+
 def test_chance_met_covers_the_threshold():
     assert simhash.chance_met(0.8, 9, 5) > 0.96 and simhash.chance_met(0.85, 9, 5) > 0.996 and simhash.chance_met(0.4, 9, 5) < 0.03
 
